@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .formats import collapsed, further_copies
 from .mixing import mix, mix_shares
 from .packing import pack_fill, pack_texts
+from .sentences import sentence_units
 from .sql import ORACLES  # noqa: F401
 
 
@@ -40,4 +41,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_copies, p8_packs, p8_fill, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_copies, p8_packs, p8_fill, p9_mix, p9_shares, p10_found)}
