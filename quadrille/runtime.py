@@ -90,7 +90,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if getattr(sc, "_quadrille_shipped", False) or sc.master.startswith("local["):
+    if getattr(sc, "_quadrille_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="quadrille-zip-"), "quadrille.zip")
