@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .formats import collapsed, further_copies
 from .mixing import mix, mix_shares
+from .names import name_clusters, variants
 from .packing import pack_fill, pack_texts
 from .sentences import sentence_units
 from .sql import ORACLES  # noqa: F401
@@ -17,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "author_records"), table(spark, sf_dir, "affiliations"))
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record and spelling: its class and how many links it has there."""
+    people, places = name_clusters(table(spark, sf_dir, "author_records"), table(spark, sf_dir, "affiliations"))
+    both = people.withColumn("kind", F.lit("person")).unionByName(places.withColumn("kind", F.lit("org")))
+    sizes = both.groupBy("kind", "cluster").agg(F.min("key").alias("class_id"), (F.count("*") - 1).alias("links"))
+    return both.join(sizes, ["kind", "cluster"]).select("kind", "key", "class_id", "links")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return further_copies(table(spark, sf_dir, "venue_lines"))
 
@@ -45,4 +59,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_copies, p8_packs, p8_fill, p9_mix, p9_shares, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_copies, p8_packs, p8_fill, p9_mix, p9_shares, p10_found)}
