@@ -101,17 +101,16 @@ def _full_words(nodes: pd.Series) -> pd.Series:
 
 @F.pandas_udf(STRINGS)
 def _full_keys(nodes: pd.Series) -> pd.Series:
-    """Block keys of full names: phonetic codes of the sorted words; one side exact (or what a nickname stands for)
-    beside the other's one-letter deletions."""
+    """Block keys of full names: phonetic codes of the sorted words; the surname's one-letter deletions beside the
+    given name's initial (or that of what a nickname stands for); the surname beside the given name's deletions."""
 
     def keys(node: str) -> list[str]:
         p = _load(node)
         out = {"~" + " ".join(sorted(phonetic(w) for w in p.full))}
         for surname, given in p.readings():
             first = "".join(given)
-            for g in given_forms(first) if len(given) == 1 else {first}:
-                out |= {f"{d}|{g}" for d in deletions(surname)}
-            out |= {f"{surname}|{d}" for d in deletions(first)}
+            out |= {f"{d}|{g[:1]}" for d in deletions(surname) for g in given_forms(first)}
+            out |= {f"{surname}||{d}" for d in deletions(first)}
         return sorted(out)
 
     return nodes.map(keys)
@@ -132,9 +131,9 @@ def _short_keys(nodes: pd.Series) -> pd.Series:
         for surname, given in p.readings():
             firsts = given_forms(given[0]) if given else {""}
             for g in firsts:
-                seq = p.sequence((g, *given[1:])) if given else p.initials
-                for d in deletions(surname):
-                    out[f"{d}|{seq[:1]}", surname, seq] = None
+                for seq in p.sequences((g, *given[1:])) if given else {p.initials}:
+                    for d in deletions(surname):
+                        out[f"{d}|{seq[:1]}", surname, seq] = None
         return [{"key": k, "surname": s, "seq": q} for k, s, q in out]
 
     return nodes.map(keys)
@@ -146,6 +145,17 @@ def _short_fit(surname: pd.Series, seq: pd.Series, other: pd.Series, long: pd.Se
     return pd.Series([(initials_fit(q, g) and same_surname(s, t)) and initials_fit(q, g) + 2 * (s == t) for s, q, t, g in zip(surname, seq, other, long)], dtype="int32")
 
 
+@F.pandas_udf(STRINGS)
+def _surname_keys(nodes: pd.Series) -> pd.Series:
+    return nodes.map(lambda n: sorted(deletions(_load(n).full[0])))
+
+
+@F.pandas_udf(T.BooleanType())
+def _near_short(a: pd.Series, b: pd.Series) -> pd.Series:
+    pairs = [(_load(x), _load(y)) for x, y in zip(a, b)]
+    return pd.Series([x.initials == y.initials and same_surname(x.full[0], y.full[0]) for x, y in pairs], dtype=bool)
+
+
 def _attach(short: DataFrame, full: DataFrame) -> DataFrame:
     """node, label: abbreviated names whose best fitting full names are all of one component.
 
@@ -178,10 +188,16 @@ def person_clusters(records: DataFrame, orgs: DataFrame) -> DataFrame:
     labels = materialise(components(full, edges), "full-people")
     joined = materialise(_attach(short, full.join(labels, "node")), "short-people")
     alone = short.join(joined, "node", "left_anti")
-    # names of initials only: one with fewer initials joins the one with most that it fits
-    longer = alone.withColumn("m", F.length(F.get_json_object("name", "$[1]")))
-    longest = longer.filter("m >= 2").select("node", "org", "name", F.col("node").alias("label"))
-    joined_short = materialise(_attach(longer.filter("m <= 1"), longest), "initials")
+    # names of initials only: those of the same two or more initials and surnames a typing error apart are one;
+    # one with a single initial joins the one of these that it fits
+    counted = materialise(alone.withColumn("m", F.length(F.get_json_object("name", "$[1]"))), "alone")
+    several = counted.filter("m >= 2").select("node", "org", "name")
+    initials = F.get_json_object("name", "$[1]")
+    near_keys = several.select("node", F.explode(_surname_keys("name")).alias("k"), "org", initials.alias("q")).select("node", F.xxhash64("org", "k", "q").alias("key"))
+    twins = _pairs(near_keys).filter(_near_short(split("a"), split("b")))
+    joined_several = components(several, twins)
+    longest = several.join(joined_several, "node")
+    joined_short = materialise(_attach(counted.filter("m <= 1"), longest).unionByName(joined_several), "initials")
     rest = alone.join(joined_short, "node", "left_anti").select("node", F.col("node").alias("label"))
     everyone = labels.unionByName(joined).unionByName(joined_short).unionByName(rest).unionByName(nodes.filter("n = 0").select("node", F.col("node").alias("label")))
     return salted_join(named.select("id", "node"), everyone, ["node"]).select("id", F.col("label").alias("cluster")).distinct()

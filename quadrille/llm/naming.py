@@ -86,6 +86,7 @@ FULL_OF: dict[str, tuple[str, ...]] = {}
 for _full, _short in NICKNAMES.items():
     for _s in _short.split():
         FULL_OF[_s] = (*FULL_OF.get(_s, ()), _full)
+KNOWN = frozenset([*NICKNAMES, *FULL_OF, *"bjorn jorn mei qing zoe anna maria jose jean luc lena".split()])
 TITLES = frozenset("dr prof professor mr mrs ms miss sir phd md jr sr ii iii iv dipl ing doc dres herr frau mme".split())
 PARTICLES = frozenset("van von der den de la del di da le ter ten zu zur al bin ibn dos das do".split())
 LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "ı": "i", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"})
@@ -269,9 +270,10 @@ class Person(NamedTuple):
         ends = {0, len(self.full) - 1} if self.full else set()
         return [(self.full[i], self.full[:i] + self.full[i + 1 :]) for i in sorted(ends)]
 
-    def sequence(self, given: tuple[str, ...]) -> str:
-        """All initials in order: those of the given words, then the middle ones."""
-        return "".join(self.double.get(g, g[:1]) for g in given) + self.initials
+    def sequences(self, given: tuple[str, ...]) -> set[str]:
+        """The initials in order: those of the given words (or of the first alone), then the middle ones."""
+        every = "".join(self.double.get(g, g[:1]) for g in given)
+        return {every + self.initials, every[:1] + self.initials}
 
 
 def given_forms(word: str) -> set[str]:
@@ -279,9 +281,13 @@ def given_forms(word: str) -> set[str]:
     return {word, *FULL_OF.get(word, ())}
 
 
-def same_given(a: str, b: str) -> bool:
-    """Equal, a nickname of one name, or a typing error apart."""
-    return a == b or bool(given_forms(a) & given_forms(b)) or min(len(a), len(b)) >= 3 and near(a, b) and jaro_winkler(a, b) >= 0.8
+def same_given(a: str, b: str) -> int:
+    """2 equal or a nickname of one name, 1 a typing error apart where not both are known names, 0 neither."""
+    if a == b or given_forms(a) & given_forms(b):
+        return 2
+    if a in KNOWN and b in KNOWN:
+        return 0
+    return int(min(len(a), len(b)) >= 3 and near(a, b) and jaro_winkler(a, b) >= 0.8)
 
 
 def same_surname(a: str, b: str) -> bool:
@@ -289,18 +295,11 @@ def same_surname(a: str, b: str) -> bool:
 
 
 def same_person(a: Person, b: Person) -> bool:
-    """Two full names of one person: in some reading surname and given names agree, at most one of them by a
+    """Two full names of one person: in some reading the surnames and the given names agree, each but for one
     typing error, and no middle initials contradict."""
     if a.initials and b.initials and not (a.initials.startswith(b.initials) or b.initials.startswith(a.initials)):
         return False
-    for s, g in a.readings():
-        for t, h in b.readings():
-            if len(g) != len(h) or not same_surname(s, t) or not all(same_given(x, y) for x, y in zip(g, h)):
-                continue
-            typos = (s != t) + sum(x != y and not given_forms(x) & given_forms(y) for x, y in zip(g, h))
-            if typos <= 1:
-                return True
-    return False
+    return any(same_surname(s, t) and same_given("".join(g), "".join(h)) for s, g in a.readings() for t, h in b.readings())
 
 
 def initials_fit(short: str, long: str) -> int:
