@@ -57,11 +57,12 @@ def window_quads(orders: DataFrame, customers: DataFrame, year: int) -> DataFram
     """The snapshot of one year: orders of it and the year before, and their customers.
 
     A customer's label is their market segment if they ordered in the year, else dormant; so an
-    order's summary may change through its customer alone. The year's feed is a source of its own.
+    order's summary may change through its customer alone. The segment MACHINERY is renamed each
+    year, so its summaries go. The year's feed is a source of its own.
     """
     kept = orders.filter(F.year("o_orderdate").isin(year - 1, year))
     base = table_quads(kept, "orders")
     feed = base.filter(F.col("p") == "priority").withColumn("g", F.lit(f"feed/{year}"))
     active = kept.filter(F.year("o_orderdate") == year).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("active", F.lit(True))
-    labelled = customers.join(active, "c_custkey", "left").withColumn("c_mktsegment", F.when(F.col("active"), F.col("c_mktsegment")).otherwise(F.lit("dormant")))
+    labelled = customers.join(active, "c_custkey", "left").withColumn("c_mktsegment", F.when(F.col("active"), F.concat("c_mktsegment", F.when(F.col("c_mktsegment") == "MACHINERY", f"/{year}").otherwise(""))).otherwise(F.lit("dormant")))
     return base.filter(F.col("p") != "priority").unionByName(feed).unionByName(table_quads(labelled, "customer"))
