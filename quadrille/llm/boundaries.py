@@ -51,7 +51,7 @@ MARK = re.compile(
 BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 ITEM = re.compile(r"(?:[-*•‣◦▪·–][ \t\xa0]+|\(?(\d{1,3})[.)][ \t\xa0]+|\(?[a-z]\)[ \t\xa0]+)(?=\S)")
 WORD = re.compile(r"[^\s\"“”„«»「」()\[\]（）,;:]*$")
-SPACED_ABBR = re.compile(r"(?:^|[\s(„«\"“])(\w)\.[\s\xa0]{1,2}(\w)$")
+SPACED_ABBR = re.compile(r"(?:^|[\s(„«\"“])([^\W\d_])\.[\s\xa0]{1,2}([^\W\d_])$")
 NEXT_WORD = re.compile(r"\w+")
 JOINED = re.compile(r"(?<=[a-zß-öø-ÿ]{2}[.!?])(?=[A-ZÀ-Þ])|(?<=[a-zß-öø-ÿ]{2})\.(?=[A-ZÀ-Þ])")
 WORD_INSIDE = re.compile(r"[^\W\d_]{4}(?=[^\W\d_]{2})")

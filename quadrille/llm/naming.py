@@ -262,13 +262,14 @@ class Person(NamedTuple):
     double: dict[str, str]
 
     def readings(self) -> list[tuple[str, tuple[str, ...]]]:
-        """(surname, given words) in every order the form allows."""
+        """(surname, given words) in every order the form allows; those with a known given name, if there are any."""
         if self.surname:
             rest = list(self.full)
             rest.remove(self.surname)
             return [(self.surname, tuple(rest))]
-        ends = {0, len(self.full) - 1} if self.full else set()
-        return [(self.full[i], self.full[:i] + self.full[i + 1 :]) for i in sorted(ends)]
+        ends = sorted({0, len(self.full) - 1}) if self.full else []
+        orders = [(self.full[i], self.full[:i] + self.full[i + 1 :]) for i in ends]
+        return [(s, g) for s, g in orders if "".join(g) in KNOWN] or orders
 
     def sequences(self, given: tuple[str, ...]) -> set[str]:
         """The initials in order: those of the given words (or of the first alone), then the middle ones."""
@@ -291,7 +292,8 @@ def same_given(a: str, b: str) -> int:
 
 
 def same_surname(a: str, b: str) -> bool:
-    return a == b or min(len(a), len(b)) >= 4 and near(a, b) and jaro_winkler(a, b) >= 0.85
+    """Equal, or a typing error apart where not both are known given names."""
+    return a == b or min(len(a), len(b)) >= 4 and not (a in KNOWN and b in KNOWN) and near(a, b) and jaro_winkler(a, b) >= 0.85
 
 
 def same_person(a: Person, b: Person) -> bool:
