@@ -83,7 +83,7 @@ def diagnose(line: str) -> tuple[str | None, Statement | None]:
     dots, after, i, n = 0, False, 0, len(line)
     while i < n:
         c = line[i]
-        if c in " \t":
+        if c in " \t\r\n":
             i += 1
             continue
         after = after or dots > 0

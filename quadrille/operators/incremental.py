@@ -86,9 +86,10 @@ def change_counters(prev: DataFrame, curr: DataFrame) -> DataFrame:
         F.count_if(F.col("pp").isNull()).alias("schemaElementsAdded"),
         F.count_if(F.col("cp").isNull()).alias("schemaElementsDeleted"),
     )
-    return per_summary.join(per_vertex).join(loss).select(
-        *per_summary.columns, *[x for x in per_vertex.columns if x not in ("elements", "removed")],
-        (F.col("elements") + F.col("shrunk")).alias("payloadElementsChanged"), (F.col("removed") + F.col("lost")).alias("payloadEntriesRemoved"))
+    names = [*per_summary.columns, *[x for x in per_vertex.columns if x not in ("elements", "removed")]]
+    one = per_summary.unionByName(per_vertex, allowMissingColumns=True).unionByName(loss, allowMissingColumns=True)
+    one = one.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in one.columns])
+    return one.select(*names, (F.col("elements") + F.col("shrunk")).alias("payloadElementsChanged"), (F.col("removed") + F.col("lost")).alias("payloadEntriesRemoved"))
 
 
 def apply_delta(state: DataFrame, additions: DataFrame, removals: DataFrame) -> DataFrame:

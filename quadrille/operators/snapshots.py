@@ -120,7 +120,7 @@ def snapshot_changes(imprints: DataFrame) -> DataFrame:
     for n in numbers:
         changes = index.advance(imprints.filter(F.col("snapshot") == n))
         if changes is not None:
-            changes.select(F.lit(n).cast("int").alias("snapshot"), F.col("_id").cast("int").alias("_id"), "change").coalesce(max(1, index.buckets // 4)).write.mode("append").parquet(out)
+            changes.select(F.lit(n).cast("int").alias("snapshot"), F.col("_id").cast("int").alias("_id"), "change").write.mode("append").parquet(out)
             index.drop_old()
     index.close()
     return spark.read.schema(schema).parquet(out)

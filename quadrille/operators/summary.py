@@ -59,7 +59,8 @@ def counts(summaries: DataFrame) -> DataFrame:
     v = vertices_of(summaries).agg(F.count("*").alias("vertices"), F.count_if("is_primary").alias("primaries"))
     e = edges_of(summaries).agg(F.count("*").alias("edges"))
     n = summaries.agg(F.count("*").alias("links"))
-    return v.join(e).join(n).select("vertices", "edges", "primaries", "links")
+    one = v.unionByName(e, allowMissingColumns=True).unionByName(n, allowMissingColumns=True)
+    return one.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("vertices", "edges", "primaries", "links")])
 
 
 def ntriples(summaries: DataFrame, namespace: str, class_signal: str) -> DataFrame:

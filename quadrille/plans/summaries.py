@@ -55,6 +55,11 @@ def model(name: str, undirected: bool = False, mode: str = "min") -> Callable[[S
 COMPLEX = model("complex-attribute_class-collection")
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The complex summaries, computed once for queries that use them several times."""
+    return materialise(COMPLEX(spark, d), "summaries")
+
+
 def snapshot(spark: SparkSession, d: str, year: int) -> DataFrame:
     quads = tables.window_quads(table(spark, d, "orders"), table(spark, d, "customer"), year)
     return models.summarize(quads, CONFIG)
@@ -173,7 +178,7 @@ def k_bisimulation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_vertices(spark: SparkSession, d: str) -> DataFrame:
-    s = COMPLEX(spark, d)
+    s = stored(spark, d)
     primary = summary.primary(s).select(joined("labels").alias("labels"), neighbor_text("neighbors").alias("neighbors"), "instances", F.lit(True).alias("is_primary"))
     rest = summary.vertices_of(s).filter("not is_primary").select(joined("labels").alias("labels"), F.lit("").alias("neighbors"), F.lit(0).cast("bigint").alias("instances"), "is_primary")
     return primary.unionByName(rest)
@@ -189,7 +194,7 @@ def secondary_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_payload(spark: SparkSession, d: str) -> DataFrame:
-    s = COMPLEX(spark, d)
+    s = stored(spark, d)
     named = summary.primary(s).select("sig", joined("labels").alias("labels"), neighbor_text("neighbors").alias("neighbors"))
     return salted_join(summary.payload_of(s), named, ["sig"]).select("labels", "neighbors", "g")
 
@@ -208,20 +213,20 @@ def completeness_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_information(spark: SparkSession, d: str) -> DataFrame:
-    return summary.index_information(COMPLEX(spark, d)).groupBy("types", "properties").agg(F.count("*").alias("summaries"))
+    return summary.index_information(stored(spark, d)).groupBy("types", "properties").agg(F.count("*").alias("summaries"))
 
 
 def summary_counts(spark: SparkSession, d: str) -> DataFrame:
-    return summary.counts(COMPLEX(spark, d))
+    return summary.counts(stored(spark, d))
 
 
 def ntriples_export(spark: SparkSession, d: str) -> DataFrame:
-    lines = summary.ntriples(COMPLEX(spark, d), "http://example.org/summary", SIGNAL)
+    lines = summary.ntriples(stored(spark, d), "http://example.org/summary", SIGNAL)
     return lines.select(F.regexp_extract("line", r"^<[^>]*> <([^>]*)>", 1).alias("predicate")).groupBy("predicate").agg(F.count("*").alias("triples"))
 
 
 def vertex_summary_mapping(spark: SparkSession, d: str) -> DataFrame:
-    return mapping(COMPLEX(spark, d))
+    return mapping(stored(spark, d))
 
 
 def vertex_hash(spark: SparkSession, d: str) -> DataFrame:

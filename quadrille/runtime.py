@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 0.005
 #: How many ways a heavy key is split.
 SALTS = 32
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/quadrille/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/quadrille/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this process stored in the shared folder; returns how many paths. Results that
+    were not written elsewhere can't be read any more."""
+    n = len(_made)
+    while _made:
+        remove_path(spark, _made.pop())
+    return n
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -90,8 +90,11 @@ def papers_per_year(papers: DataFrame) -> DataFrame:
 
 
 def cumulative(rows: DataFrame, order: str) -> DataFrame:
-    """snapshot and the rows of all values of ``order`` up to it. The values are few (years), their list bounded to 10000."""
-    steps = rows.select(order).filter(F.col(order).isNotNull()).distinct().limit(10_001)
-    later = F.filter(F.col("steps"), lambda x: x >= F.col(order))
-    all_steps = steps.agg(F.array_sort(F.collect_list(order)).alias("steps"))
-    return rows.filter(F.col(order).isNotNull()).join(F.broadcast(all_steps)).select(F.explode(later).alias("snapshot"), *rows.columns)
+    """snapshot and the rows of all values of ``order`` up to it. The values are few (years); more than 10000 raise."""
+    steps = [r[0] for r in rows.select(order).filter(F.col(order).isNotNull()).distinct().limit(10_001).collect()]
+    if len(steps) > 10_000:
+        raise ValueError("more than 10000 snapshots")
+    if not steps:
+        return rows.filter(F.lit(False)).select(F.col(order).alias("snapshot"), "*")
+    later = F.filter(F.array(*[F.lit(x) for x in sorted(steps)]), lambda x: x >= F.col(order))
+    return rows.filter(F.col(order).isNotNull()).select(F.explode(later).alias("snapshot"), *rows.columns)
