@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,8 +96,6 @@ def token_blocks(documents: DataFrame, block: int = BLOCK, path: str = VOCABULAR
     buckets = max(1, -(-counted.count() // BUCKET))
     placed = counted.filter("n_tokens > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
-    from pyspark.sql import Window as W
-
     base = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))).alias("base")).fillna(0, ["base"])
     within = W.partitionBy("source", "bucket").orderBy("doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     at = placed.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(base, ["source", "bucket"]).withColumn("at", F.col("base") + F.col("before"))
@@ -146,9 +145,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_blocks: int | None = Non
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, tokens, actual_share, most_used of each target."""
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), (F.max("use") + 1).alias("most_used"))
-    total = got.agg(F.sum("tokens").alias("total"))
     wanted = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"))
-    return (
-        wanted.join(got, "source", "left").join(F.broadcast(total), how="left")
-        .select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_used", F.lit(0)).alias("most_used"))
-    )
+    both = wanted.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    total = F.sum("tokens").over(W.partitionBy(F.lit(1)))  # over the sources, at most 10000 rows
+    return both.select("source", "target_share", "tokens", F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)).alias("actual_share"), F.coalesce("most_used", F.lit(0)).alias("most_used"))
