@@ -13,6 +13,7 @@ from ..functions.terms import normalise
 INT_LABELS = ["year", "volume", "issue", "page_start", "page_end"]
 TEXT_LABELS = ["title", "doc_type", "lang", "publisher", "issn", "doi"]
 LIST_LABELS = {"author": "authors", "field-of-study": "fields_of_study"}
+SPACES = " \t\n\x0b\f\r"
 #: Entities of an ordinal range; a range is stitched in one task's memory.
 RANGE = 4096
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
@@ -20,9 +21,9 @@ INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 
 def clean_value(c: Column) -> Column:
     """Outer white space, enclosing quotes and a language or datatype mark off; white space inside the quotes too."""
-    bare = F.regexp_replace(c, r"^\s+|\s+$", "")
+    bare = F.btrim(c, F.lit(SPACES))
     marked = r'(?s)^"(.*)"(@[A-Za-z0-9-]+|\^\^\S+)?$'
-    return F.when(bare.rlike(marked), F.regexp_replace(F.regexp_extract(bare, marked, 1), r"^\s+|\s+$", "")).otherwise(bare)
+    return F.when(bare.startswith('"') & bare.rlike(marked), F.btrim(F.regexp_extract(bare, marked, 1), F.lit(SPACES))).otherwise(bare)
 
 
 def whole_number(c: Column) -> Column:
