@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import SummaryConfig
 from ..operators import incremental, summary
 from ..operators.models import summarize
 from ..runtime import materialise, work_path
-from ..sinks import completeness, read_store, write_csv, write_ntriples, write_store
+from ..sinks import completeness, folder_bytes, read_store, write_csv, write_ntriples, write_store
 from ..sources.nquads import read_delta, read_nquads
 
 
+class Phases:
+    """Wall-clock milliseconds of a snapshot's phases."""
+
+    def __init__(self) -> None:
+        self.ms: dict[str, int] = {}
+        self.began = time.monotonic()
+
+    def end(self, phase: str) -> None:
+        now = time.monotonic()
+        self.ms[phase] = int(1000 * (now - self.began))
+        self.began = now
+
+
+PHASES = ["read", "summarize", "store", "verify", "compare"]
+
+
+def time_and_space(spark: SparkSession, iteration: int, phases: Phases, now: DataFrame | None, state: str) -> DataFrame:
+    """One row: iteration, ms of each phase and in all, links, vertices and edges of the summary, bytes of the
+    vertex index and of the summary graph. A dry run stores nothing, so its counts and bytes are 0."""
+    times = [phases.ms.get(p, 0) for p in PHASES]
+    counts = summary.counts(now).first() if now is not None else None
+    version = f"snapshot={iteration}"
+    sizes = [folder_bytes(spark, f"{state}/imprint/{version}"), sum(folder_bytes(spark, f"{state}/{n}/{version}") for n in ("summary_vertex", "summary_edge"))] if now is not None else [0, 0]
+    row = (iteration, *times, sum(times), *((counts.links, counts.vertices, counts.edges) if counts else (0, 0, 0)), *sizes)
+    names = ["iteration", *[f"{p}_ms" for p in PHASES], "total_ms", "links", "schema_elements", "schema_relations", "index_bytes", "graph_bytes"]
+    return spark.createDataFrame([row], ", ".join(f"{n} bigint" for n in names))
+
+
 def run_snapshots(spark: SparkSession, config: SummaryConfig) -> DataFrame | None:
     """Runs the configured snapshots in order; returns the counters of the last.
 
@@ -24,29 +54,39 @@ def run_snapshots(spark: SparkSession, config: SummaryConfig) -> DataFrame | Non
     quads: DataFrame | None = None
     counters = None
     for i, path in config.snapshots():
+        phases = Phases()
         if config.delta and before is not None and quads is not None:
             folder, _, name = path.rpartition("/")
             additions, removals = read_delta(spark, folder, name, config)
             now, quads = incremental.update(before, quads, additions, removals, config)
             quads = materialise(quads, "quads")
         else:
-            quads = read_nquads(spark, path, config)
+            quads = materialise(read_nquads(spark, path, config), "quads")
             now = summarize(quads, config)
+        phases.end("read")
+        now = materialise(now, "now")
+        phases.end("summarize")
         if config.dry_run:
-            before = materialise(now, "dry")
+            before = now
+            if config.report_dir:
+                write_csv(time_and_space(spark, i, phases, None, state), f"{config.report_dir}/update-time-and-space", append=i > 0)
             continue
-        write_store(materialise(now, "now"), state, i)
+        write_store(now, state, i)
         now = read_store(spark, state, i)
+        phases.end("store")
         if config.verify_against_batch:
             row = summary.same_summaries(now, summarize(quads, config)).first()
             if any(row):
                 raise AssertionError(f"snapshot {i}: incremental and batch differ: {row.asDict()}")
+        phases.end("verify")
         past = before if before is not None else now.limit(0)
         if config.track_changes:
             counters = materialise(incremental.change_counters(past, now), "counters")
+        phases.end("compare")
         if config.report_dir:
             if counters is not None:
                 write_csv(counters, f"{config.report_dir}/changes", append=i > 0)
+            write_csv(time_and_space(spark, i, phases, now, state), f"{config.report_dir}/update-time-and-space", append=i > 0)
             if config.schema_stats:
                 write_csv(completeness(now), f"{config.report_dir}/completeness-{i}")
                 write_csv(summary.index_information(now), f"{config.report_dir}/schema-{i}")

@@ -56,6 +56,13 @@ def read_store(spark: SparkSession, path: str, snapshot: int) -> DataFrame:
     return spark.read.parquet(f"{path}/imprint/snapshot={snapshot}")
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path; 0 if it is missing."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def drop_version(spark: SparkSession, path: str, snapshot: int) -> None:
     for name in ("summary_vertex", "summary_edge", "imprint"):
         remove_path(spark, f"{path}/{name}/snapshot={snapshot}")

@@ -154,6 +154,27 @@ def test_run_and_store(spark, tmp_path):
     assert read_store(spark, c.state_dir, 1).count() == 3
     assert spark.read.option("header", True).csv(str(tmp_path / "reports/changes")).count() == 4
     assert read_nquads(spark, paths[1], c).count() == 12
+    spent = spark.read.option("header", True).csv(str(tmp_path / "reports/update-time-and-space")).filter("iteration = 3").first()
+    assert (spent.links, spent.schema_elements, spent.schema_relations) == ("2", "4", "4") and int(spent.index_bytes) > 0
+
+
+def test_delta_run_equals_snapshots(spark, tmp_path):
+    paths = [write(tmp_path, 0, SNAPSHOTS[0])]
+    for i in (1, 2, 3):
+        a, b = SNAPSHOTS[i - 1].split("\n"), SNAPSHOTS[i].split("\n")
+        for prefix, part in (("additions", [x for x in b if x not in a]), ("removals", [x for x in a if x not in b])):
+            if part:
+                (tmp_path / f"{prefix}_d{i}.nq").write_text("\n".join(part) + "\n")
+        paths.append(str(tmp_path / f"d{i}.nq"))
+    c = SummaryConfig(class_signal="type", inputs=tuple(paths), delta=True, state_dir=str(tmp_path / "state"), verify_against_batch=True)
+    got = run_snapshots(spark, c).first().asDict()
+    assert {k: got[k] for k in GOLDEN[3]} == GOLDEN[3]
+
+
+def test_dry_run_stores_nothing(spark, tmp_path):
+    c = SummaryConfig(class_signal="type", inputs=(write(tmp_path, 0, FIRST),), dry_run=True, state_dir=str(tmp_path / "state"), report_dir=str(tmp_path / "reports"))
+    assert run_snapshots(spark, c) is None and not (tmp_path / "state").exists()
+    assert spark.read.option("header", True).csv(str(tmp_path / "reports/update-time-and-space")).first().links == "0"
 
 
 def test_stream_of_snapshots(spark, tmp_path):
