@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from ..runtime import materialise, salted_join
 from .naming import Person, deletions, given_forms, initials_fit, org_tokens, person_parts, phonetic, same_org, same_person, same_surname
 
-STRINGS = T.ArrayType(T.StringType())
+LONGS = T.ArrayType(T.LongType())
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -50,17 +51,22 @@ def _org_node(orgs: pd.Series) -> pd.Series:
     return orgs.map(lambda o: " ".join(org_tokens(o)))
 
 
-@F.pandas_udf(STRINGS)
+def _hash(*parts: str) -> int:
+    """64 bits of a block key, signed."""
+    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+
+
+@F.pandas_udf(LONGS)
 def _org_keys(nodes: pd.Series) -> pd.Series:
     """Block keys: phonetic codes of the sorted words, and for each word its one-letter deletions beside the others."""
 
-    def keys(node: str) -> list[str]:
+    def keys(node: str) -> list[int]:
         words = node.split()
-        out = {"~" + " ".join(phonetic(w) for w in words)}
+        out = {_hash("~", *(phonetic(w) for w in words))}
         for i, w in enumerate(words):
             if len(w) >= 5:
                 rest = " ".join(words[:i] + words[i + 1 :])
-                out |= {f"{rest}|{d}" for d in deletions(w)}
+                out |= {_hash(rest, d) for d in deletions(w)}
         return sorted(out)
 
     return nodes.map(keys)
@@ -71,13 +77,25 @@ def _same_org(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_org(x.split(), y.split()) for x, y in zip(a, b)], dtype=bool)
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with an integer ``node`` for each row, stored, so that blocks and pairs are narrow."""
+    return materialise(df.withColumn("node", F.monotonically_increasing_id()), name)
+
+
+def _named_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """a, b and the names of both."""
+    x = left.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    y = right.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(x, "a").join(y, "b")
+
+
 def org_clusters(orgs: DataFrame) -> DataFrame:
     """org, cluster of each distinct spelling. Null and wordless spellings are left out."""
-    named = materialise(orgs.select("org").filter("org is not null").distinct().select("org", _org_node("org").alias("node")).filter("node != ''"), "org-names")
-    nodes = named.select("node").distinct()
-    keyed = nodes.select("node", F.explode(_org_keys("node")).alias("key")).select("node", F.xxhash64("key").alias("key"))
-    edges = _pairs(keyed).filter(_same_org("a", "b"))
-    return named.join(components(nodes, edges), "node").select("org", F.col("label").alias("cluster"))
+    named = materialise(orgs.select("org").filter("org is not null").distinct().select("org", _org_node("org").alias("words")).filter("words != ''"), "org-names")
+    nodes = _numbered(named.select("words").distinct(), "org-nodes")
+    keyed = nodes.select("node", F.explode(_org_keys("words")).alias("key"))
+    edges = _named_pairs(_pairs(keyed), nodes, nodes, "words").filter(_same_org("x", "y"))
+    return named.join(nodes.join(components(nodes, edges), "node"), "words").select("org", F.col("label").alias("cluster"))
 
 
 def _dump(p: Person) -> str:
@@ -99,21 +117,21 @@ def _full_words(nodes: pd.Series) -> pd.Series:
     return nodes.map(lambda n: len(json.loads(n)[0]))
 
 
-@F.pandas_udf(STRINGS)
-def _full_keys(nodes: pd.Series) -> pd.Series:
+@F.pandas_udf(LONGS)
+def _full_keys(orgs: pd.Series, nodes: pd.Series) -> pd.Series:
     """Block keys of full names: phonetic codes of the sorted words; the surname's one-letter deletions beside the
     given name's initial (or that of what a nickname stands for); the surname beside the given name's deletions."""
 
-    def keys(node: str) -> list[str]:
+    def keys(org: str, node: str) -> list[int]:
         p = _load(node)
-        out = {"~" + " ".join(sorted(phonetic(w) for w in p.full))}
+        out = {_hash(org, "~", *sorted(phonetic(w) for w in p.full))}
         for surname, given in p.readings():
             first = "".join(given)
-            out |= {f"{d}|{g[:1]}" for d in deletions(surname) for g in given_forms(first)}
-            out |= {f"{surname}||{d}" for d in deletions(first)}
+            out |= {_hash(org, d, g) for d in deletions(surname) for g in {g[:1] for g in given_forms(first)}}
+            out |= {_hash(org, surname, "", d) for d in deletions(first)}
         return sorted(out)
 
-    return nodes.map(keys)
+    return pd.Series([keys(str(o), n) for o, n in zip(orgs, nodes)])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -121,33 +139,43 @@ def _same_person(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_person(_load(x), _load(y)) for x, y in zip(a, b)], dtype=bool)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("surname", T.StringType()), T.StructField("seq", T.StringType())])))
-def _short_keys(nodes: pd.Series) -> pd.Series:
-    """(deletion of the surname and first initial, surname, initials) in every reading, nicknames spelled out."""
+def _short_readings(p: Person) -> set[tuple[str, str]]:
+    """(surname, initials) in every reading, nicknames spelled out."""
+    out = set()
+    for surname, given in p.readings():
+        for g in given_forms(given[0]) if given else ():
+            out |= {(surname, seq) for seq in p.sequences((g, *given[1:]))}
+        if not given:
+            out.add((surname, p.initials))
+    return out
 
-    def keys(node: str) -> list[dict]:
-        p = _load(node)
-        out = {}
-        for surname, given in p.readings():
-            firsts = given_forms(given[0]) if given else {""}
-            for g in firsts:
-                for seq in p.sequences((g, *given[1:])) if given else {p.initials}:
-                    for d in deletions(surname):
-                        out[f"{d}|{seq[:1]}", surname, seq] = None
-        return [{"key": k, "surname": s, "seq": q} for k, s, q in out]
 
-    return nodes.map(keys)
+@F.pandas_udf(LONGS)
+def _short_keys(orgs: pd.Series, nodes: pd.Series) -> pd.Series:
+    """One-letter deletions of the surname beside the first initial, in every reading."""
+    return pd.Series([sorted({_hash(str(o), d, seq[:1]) for s, seq in _short_readings(_load(n)) for d in deletions(s)}) for o, n in zip(orgs, nodes)])
 
 
 @F.pandas_udf(T.IntegerType())
-def _short_fit(surname: pd.Series, seq: pd.Series, other: pd.Series, long: pd.Series) -> pd.Series:
+def _short_fit(short: pd.Series, full: pd.Series) -> pd.Series:
     """0 no fit; else the better the greater: equal surnames before near ones, full fit of initials before the first alone."""
-    return pd.Series([(initials_fit(q, g) and same_surname(s, t)) and initials_fit(q, g) + 2 * (s == t) for s, q, t, g in zip(surname, seq, other, long)], dtype="int32")
+
+    def fit(a: str, b: str) -> int:
+        best = 0
+        for s, q in _short_readings(_load(a)):
+            for t, g in _short_readings(_load(b)):
+                n = initials_fit(q, g)
+                if n and same_surname(s, t):
+                    best = max(best, n + 2 * (s == t))
+        return best
+
+    return pd.Series([fit(a, b) for a, b in zip(short, full)], dtype="int32")
 
 
-@F.pandas_udf(STRINGS)
-def _surname_keys(nodes: pd.Series) -> pd.Series:
-    return nodes.map(lambda n: sorted(deletions(_load(n).full[0])))
+@F.pandas_udf(LONGS)
+def _surname_keys(orgs: pd.Series, nodes: pd.Series) -> pd.Series:
+    names = [_load(n) for n in nodes]
+    return pd.Series([sorted({_hash(str(o), d, p.initials) for d in deletions(p.full[0])}) for o, p in zip(orgs, names)])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -159,15 +187,17 @@ def _near_short(a: pd.Series, b: pd.Series) -> pd.Series:
 def _attach(short: DataFrame, full: DataFrame) -> DataFrame:
     """node, label: abbreviated names whose best fitting full names are all of one component.
 
-    short: org, node; full: org, node, label. A short name that fits several people stays alone.
+    short, full: node, org, name; full has label too. A short name that fits several people stays alone.
     """
-    s = short.select("node", "org", F.explode(_short_keys("name")).alias("k")).select("node", F.xxhash64("org", "k.key").alias("key"), F.col("k.surname").alias("s"), F.col("k.seq").alias("q"))
-    f = full.select("label", "org", F.explode(_short_keys("name")).alias("k")).select("label", F.xxhash64("org", "k.key").alias("key"), F.col("k.surname").alias("t"), F.col("k.seq").alias("g")).distinct()
-    fits = s.join(f, "key").select("node", "label", "s", "q", "t", "g").distinct().withColumn("fit", _short_fit("s", "q", "t", "g")).filter("fit > 0")
-    best = fits.groupBy("node", "label").agg(F.max("fit").alias("fit"))
-    top = best.groupBy("node").agg(F.max(F.struct("fit", "label")).alias("m"), F.max("fit").alias("fit"))
-    rivals = best.join(top.select("node", "fit", F.col("m.label").alias("won")), ["node", "fit"]).groupBy("node").agg(F.count("*").alias("n"), F.max("won").alias("label"))
-    return rivals.filter("n = 1").select("node", "label")
+    key = F.explode(_short_keys("org", "name")).alias("key")
+    s = short.select(F.col("node").alias("a"), key)
+    f = full.select(F.col("node").alias("b"), key)
+    fits = _named_pairs(s.join(f, "key").select("a", "b").distinct(), short, full, "name").select("a", "b", _short_fit("x", "y").alias("fit")).filter("fit > 0")
+    best = fits.join(full.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.max("fit").alias("fit"))
+    # the best fit of each name, how many people share it, and one of them: kept in one partial aggregate per fit
+    per_fit = best.groupBy("node", "fit").agg(F.count("*").alias("n"), F.min("label").alias("label"))
+    top = per_fit.groupBy("node").agg(F.max(F.struct("fit", "n", "label")).alias("m"))
+    return top.filter("m.n = 1").select("node", F.col("m.label").alias("label"))
 
 
 def person_clusters(records: DataFrame, orgs: DataFrame) -> DataFrame:
@@ -179,28 +209,26 @@ def person_clusters(records: DataFrame, orgs: DataFrame) -> DataFrame:
     """
     known = records.filter("id is not null and name is not null and org is not null").select("id", "name", "org").distinct()
     placed = salted_join(known, orgs, ["org"]).select("id", F.col("cluster").alias("org"), "name")
-    named = materialise(placed.select("id", "org", _person_node("name").alias("name")).withColumn("node", F.concat("org", F.lit("\t"), "name")), "person-names")
-    nodes = materialise(named.select("node", "org", "name", _full_words("name").alias("n")).distinct(), "person-nodes")
+    named = materialise(placed.select("id", "org", _person_node("name").alias("name")), "person-names")
+    nodes = _numbered(named.select("org", "name").distinct().withColumn("n", _full_words("name")), "person-nodes")
     full, short = nodes.filter("n >= 2"), nodes.filter("n = 1")
-    keyed = full.select("node", "org", F.explode(_full_keys("name")).alias("key")).select("node", F.xxhash64("org", "key").alias("key"))
-    split = lambda c: F.element_at(F.split(c, "\t"), 2)
-    edges = _pairs(keyed).filter(F.element_at(F.split("a", "\t"), 1) == F.element_at(F.split("b", "\t"), 1)).filter(_same_person(split("a"), split("b")))
+    keyed = full.select("node", F.explode(_full_keys("org", "name")).alias("key"))
+    edges = _named_pairs(_pairs(keyed), full, full, "name").filter(_same_person("x", "y"))
     labels = materialise(components(full, edges), "full-people")
     joined = materialise(_attach(short, full.join(labels, "node")), "short-people")
     alone = short.join(joined, "node", "left_anti")
     # names of initials only: those of the same two or more initials and surnames a typing error apart are one;
     # one with a single initial joins the one of these that it fits
     counted = materialise(alone.withColumn("m", F.length(F.get_json_object("name", "$[1]"))), "alone")
-    several = counted.filter("m >= 2").select("node", "org", "name")
-    initials = F.get_json_object("name", "$[1]")
-    near_keys = several.select("node", F.explode(_surname_keys("name")).alias("k"), "org", initials.alias("q")).select("node", F.xxhash64("org", "k", "q").alias("key"))
-    twins = _pairs(near_keys).filter(_near_short(split("a"), split("b")))
+    several = counted.filter("m >= 2")
+    near_keys = several.select("node", F.explode(_surname_keys("org", "name")).alias("key"))
+    twins = _named_pairs(_pairs(near_keys), several, several, "name").filter(_near_short("x", "y"))
     joined_several = components(several, twins)
-    longest = several.join(joined_several, "node")
-    joined_short = materialise(_attach(counted.filter("m <= 1"), longest).unionByName(joined_several), "initials")
+    joined_short = materialise(_attach(counted.filter("m <= 1"), several.join(joined_several, "node")).unionByName(joined_several), "initials")
     rest = alone.join(joined_short, "node", "left_anti").select("node", F.col("node").alias("label"))
     everyone = labels.unionByName(joined).unionByName(joined_short).unionByName(rest).unionByName(nodes.filter("n = 0").select("node", F.col("node").alias("label")))
-    return salted_join(named.select("id", "node"), everyone, ["node"]).select("id", F.col("label").alias("cluster")).distinct()
+    placed_nodes = nodes.join(everyone, "node").select("org", "name", "label")
+    return salted_join(named, placed_nodes, ["org", "name"]).select("id", F.col("label").alias("cluster")).distinct()
 
 
 def linked_pairs(members: DataFrame, kind: str) -> DataFrame:
