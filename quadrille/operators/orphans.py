@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise, remove_path, salted_join, work_path
 
-SPACE = r"^\s+|\s+$"
+SPACES = " \t\n\x0b\f\r"
 
 
 class OrphanTracker:
@@ -62,7 +62,7 @@ class OrphanTracker:
         refs = (
             arrived.select("id", F.explode("references").alias("ref_id"))
             .filter(F.col("ref_id").isNotNull())
-            .select("id", F.regexp_replace("ref_id", SPACE, "").alias("ref_id"))
+            .select("id", F.btrim("ref_id", F.lit(SPACES)).alias("ref_id"))
             .distinct()
         )
         new = refs.join(index.filter("first_delivered is not null").select("id", "first_delivered"), "id").select(
