@@ -18,7 +18,7 @@ DEFAULT_SOURCE = "http://informatik.uni-kiel.de"
 def normalise(term: Column | str, base_uri: str = BASE_URI) -> Column:
     """Angle brackets off, blank node prefix to the base URI, trailing / and # off, lower case. Null stays null."""
     c = F.col(term) if isinstance(term, str) else term
-    c = F.regexp_replace(c, "[<>]", "")
+    c = F.translate(c, "<>", "")
     c = F.when(c.startswith("_:"), F.concat(F.lit(base_uri), F.substring(c, 3, 1 << 30))).otherwise(c)
     return F.lower(F.rtrim(c, F.lit("/#")))
 
@@ -27,17 +27,22 @@ def is_literal(term: str) -> Column:
     return F.col(term).startswith('"')
 
 
-def parse_line(line: str = "value", base_uri: str = BASE_URI, default_source: str = DEFAULT_SOURCE) -> Column:
-    """A struct s, p, o, g of a line, or null when it is neither quad nor triple.
+#: Stands between the groups of a match; a line that holds it is malformed.
+MARK = "\x01"
 
-    The quad pattern is tried first; a triple gets the default source, which is not normalised.
-    """
-    c = F.col(line)
 
-    def group(pattern: str, i: int) -> Column:
-        return normalise(F.regexp_extract(c, pattern, i), base_uri)
+def line_terms(line: str = "value") -> Column:
+    """The terms of a line as written, [s, p, o, g] of a quad or [s, p, o] of a triple; null if it is neither.
+
+    The quad pattern is tried first. Each pattern runs once: a match is rewritten to its groups with a mark between.
+    """
+    c = F.when(~F.contains(F.col(line), F.lit(MARK)), F.col(line))
+    quad = F.regexp_replace(c, QUAD, MARK.join(["$1", "$2", "$3", "$5"]))
+    triple = F.regexp_replace(c, TRIPLE, MARK.join(["$1", "$2", "$3"]))
+    return F.split(F.coalesce(F.nullif(quad, c), F.nullif(triple, c)), MARK)
 
-    def struct(pattern: str, source: Column) -> Column:
-        return F.struct(group(pattern, 1).alias("s"), group(pattern, 2).alias("p"), group(pattern, 3).alias("o"), source.alias("g"))
 
-    return F.when(c.rlike(QUAD), struct(QUAD, group(QUAD, 5))).when(c.rlike(TRIPLE), struct(TRIPLE, F.lit(default_source)))
+def parsed_terms(terms: Column, base_uri: str = BASE_URI, default_source: str = DEFAULT_SOURCE) -> list[Column]:
+    """s, p, o, g, normalised. A triple gets the default source, which is not normalised."""
+    out = [normalise(terms[i], base_uri).alias(n) for i, n in enumerate("spo")]
+    return [*out, F.when(F.size(terms) > 3, normalise(F.get(terms, F.lit(3)), base_uri)).otherwise(F.lit(default_source)).alias("g")]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import is_literal
-from ..runtime import salted_join
+from ..runtime import hot_join
 
 EVERY = "*"
 
@@ -44,10 +44,10 @@ def vertices(quads: DataFrame, signal: str | None, undirected: bool = False) ->
 
 
 def triplets(edge: DataFrame, label: DataFrame) -> DataFrame:
-    """s, p, o, g, src_labels, dst_labels. Hot objects are salted; a vertex is one row of ``label``."""
+    """s, p, o, g, src_labels, dst_labels. Hot objects are split; a vertex is one row of ``label``."""
     src = label.select(F.col("v").alias("s"), F.col("labels").alias("src_labels"))
     dst = label.select(F.col("v").alias("o"), F.col("labels").alias("dst_labels"))
-    return salted_join(salted_join(edge, dst, ["o"], "left"), src, ["s"], "left").select("s", "p", "o", "g", "src_labels", "dst_labels")
+    return hot_join(hot_join(edge, dst, ["o"], "left"), src, ["s"], "left").select("s", "p", "o", "g", "src_labels", "dst_labels")
 
 
 def subject_bundles(edge: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SummaryConfig
-from ..runtime import materialise, salted_join
+from ..runtime import hot_join, materialise
 from .graph import edges, labels
 
 NO_LABELS = "array<string>"
@@ -59,7 +59,7 @@ def complex_collection(edge: DataFrame, label: DataFrame, neighbor_mode: str = "
     (s, p, target labels) are formed before anything is collected per subject.
     """
     dst = label.select(F.col("v").alias("o"), F.col("labels").alias("t"))
-    known = salted_join(edge, dst, ["o"], "left").withColumn("t", F.coalesce("t", empty_labels()))
+    known = hot_join(edge, dst, ["o"], "left").withColumn("t", F.coalesce("t", empty_labels()))
     if neighbor_mode == "min":
         per = known.groupBy("s", "p").agg(F.min("t").alias("t"), F.collect_set("g").alias("gs"))
     elif neighbor_mode == "all":
@@ -91,11 +91,12 @@ def k_collection(edge: DataFrame, label: DataFrame, k: int) -> DataFrame:
     Step i hashes a vertex's labels with the distinct (property, block of the target at i-1).
     Each step is one join and one aggregation, written to the shared folder.
     """
-    ends = edge.select(F.explode(F.array("s", "o")).alias("v")).distinct()
+    steps = materialise(edge.select("s", "p", "o").distinct(), "k-edges")
+    ends = steps.select(F.explode(F.array("s", "o")).alias("v")).distinct()
     base = ends.join(label, "v", "left").select("v", F.sha2(F.to_json(F.struct(F.coalesce("labels", empty_labels()).alias("l"))), 256).alias("base"))
-    block = materialise(base.select("v", F.col("base").alias("block")), "k-base")
-    steps = edge.select("s", "p", "o").distinct()
+    base = materialise(base, "k-base")
+    block = base.select("v", F.col("base").alias("block"))
     for _ in range(k):
-        seen = salted_join(steps, block.select(F.col("v").alias("o"), F.col("block").alias("t")), ["o"]).groupBy("s").agg(F.array_sort(F.collect_set(F.struct("p", "t"))).alias("n"))
+        seen = hot_join(steps, block.select(F.col("v").alias("o"), F.col("block").alias("t")), ["o"]).groupBy("s").agg(F.array_sort(F.collect_set(F.struct("p", "t"))).alias("n"))
         block = materialise(base.join(seen.withColumnRenamed("s", "v"), "v", "left").select("v", F.sha2(F.concat("base", F.coalesce(F.to_json("n"), F.lit(""))), 256).alias("block")), "k-step")
-    return block.join(edge.select(F.col("s").alias("v")).distinct(), "v", "left_semi")
+    return block.join(steps.select(F.col("s").alias("v")).distinct(), "v", "left_semi")

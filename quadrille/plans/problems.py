@@ -12,6 +12,7 @@ from ..operators.packed import author_positions, unpack
 from ..operators.rejects import loaded, parse_lines, rejected
 from ..operators.snapshots import snapshot_changes
 from ..operators.wide import filled_cells, wide_table
+from ..runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +28,11 @@ def p1_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejected(table(spark, sf_dir, "raw_quads"))
+    return rejected(spread(table(spark, sf_dir, "raw_quads")))
 
 
 def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaded(table(spark, sf_dir, "raw_quads"))
+    return loaded(spread(table(spark, sf_dir, "raw_quads")))
 
 
 def p2_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

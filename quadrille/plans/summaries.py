@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import SummaryConfig
 from ..functions.terms import is_literal, normalise
 from ..operators import graph, incremental, models, stats, summary
-from ..runtime import materialise, salted_join, work_path
+from ..runtime import materialise, salted_join, spread, work_path
 from ..sinks import mapping, vertex_hashes
 from ..sources import citations, eventlog, nquads, tables
 
@@ -77,11 +77,11 @@ def quads_from_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nquad_format_parse(spark: SparkSession, d: str) -> DataFrame:
-    return nquads.quads_from_lines(table(spark, d, "raw_quads"), keep=["line_no"])
+    return nquads.quads_from_lines(spread(table(spark, d, "raw_quads")), keep=["line_no"])
 
 
 def malformed_filter(spark: SparkSession, d: str) -> DataFrame:
-    return nquads.corrupt_lines(table(spark, d, "raw_quads"))
+    return nquads.corrupt_lines(spread(table(spark, d, "raw_quads")))
 
 
 def term_normalize(spark: SparkSession, d: str) -> DataFrame:

@@ -96,6 +96,22 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join of a side with hot keys and one unique per key. Adaptive execution splits the hot partitions
+    at run time where it is on; else they are salted, at the cost of a pass that finds them."""
+    conf = left.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{x}", "true") == "true" for x in ("enabled", "skewJoin.enabled")):
+        return left.join(right, keys, how)
+    return salted_join(left, right, keys, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that comes in fewer partitions than there are cores (few row groups) is dealt to all cores before
+    costly work on its rows; a scan of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors once per session, for those that cannot import it from a shared path."""
     import os

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SummaryConfig
-from ..functions.terms import parse_line
+from ..functions.terms import line_terms, parsed_terms
 
 
 def quads_from_lines(lines: DataFrame, config: SummaryConfig = SummaryConfig(), line: str = "value", keep: list[str] | None = None) -> DataFrame:
     """keep..., s, p, o, g of the lines that parse. Null, blank and malformed lines are dropped."""
     full = lines.filter(F.trim(F.col(line)) != "")
-    return full.select(*(keep or []), parse_line(line, config.base_uri, config.default_source).alias("q")).filter("q is not null").select(*(keep or []), "q.*")
+    once = F.explode(F.filter(F.array(line_terms(line)), lambda t: t.isNotNull()))  # so that no pattern is run again for the filter
+    return full.select(*(keep or []), once.alias("t")).select(*(keep or []), *parsed_terms(F.col("t"), config.base_uri, config.default_source))
 
 
 def corrupt_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """lines, blank, malformed: one row of counts."""
-    q = parse_line(line)
+    q = line_terms(line)
     blank = F.coalesce(F.trim(F.col(line)) == "", F.lit(True))
     return lines.agg(F.count("*").alias("lines"), F.count_if(blank).alias("blank"), F.count_if(~blank & q.isNull()).alias("malformed"))
 

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
+
 SIGNAL = "type"
+LARGE = {"orders", "lineitem", "events"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -50,7 +53,8 @@ def table_quads(df: DataFrame, name: str) -> DataFrame:
 
 
 def quads_from_tables(spark: SparkSession, sf_dir: str, names: list[str] = TABLES) -> DataFrame:
-    return reduce(DataFrame.unionByName, [table_quads(spark.read.parquet(f"{sf_dir}/{n}.parquet"), n) for n in names])
+    scans = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    return reduce(DataFrame.unionByName, [table_quads(spread(df) if n in LARGE else df, n) for n, df in scans.items()])
 
 
 def window_quads(orders: DataFrame, customers: DataFrame, year: int) -> DataFrame:
