@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .formats import collapsed, further_copies
 from .mixing import mix, mix_shares
 from .names import name_clusters, variants
@@ -40,7 +41,7 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+    return pack_texts(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes"))
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_units(table(spark, sf_dir, "documents"))
+    return sentence_units(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_copies, p8_packs, p8_fill, p9_mix, p9_shares, p10_found)}
