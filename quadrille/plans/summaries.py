@@ -18,8 +18,10 @@ from ..sinks import mapping, vertex_hashes
 from ..sources import citations, eventlog, nquads, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: The two snapshots that single comparisons use, and all years of the orders.
-BEFORE, AFTER, YEARS = 1997, 1998, range(1996, 2002)
+#: The years of the counters and orphans.
+YEARS = range(1996, 2002)
+#: Every year between the first and the last order is a snapshot with jobs of its own; more than this many raise.
+MOST_YEARS = 100
 SIGNAL = tables.SIGNAL
 CONFIG = SummaryConfig(class_signal=SIGNAL)
 
@@ -65,8 +67,28 @@ def snapshot(spark: SparkSession, d: str, year: int) -> DataFrame:
     return models.summarize(quads, CONFIG)
 
 
-def pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return materialise(snapshot(spark, d, BEFORE), "before"), materialise(snapshot(spark, d, AFTER), "after")
+def order_years(spark: SparkSession, d: str) -> range:
+    """All years from the first to the last order."""
+    low, high = table(spark, d, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    if low is None:
+        return range(0)
+    if high - low >= MOST_YEARS:
+        raise ValueError(f"orders span {low} to {high}, more than {MOST_YEARS} years")
+    return range(low, high + 1)
+
+
+def year_quads(spark: SparkSession, d: str, year: int) -> DataFrame:
+    return tables.window_quads(table(spark, d, "orders"), table(spark, d, "customer"), year)
+
+
+def each_step(spark: SparkSession, d: str, make: Callable[[SparkSession, str, int], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What ``compare`` tells of each year against the one before, with the year. ``make`` gives a year's frame; each is stored once."""
+    made = {y: materialise(make(spark, d, y), "year") for y in order_years(spark, d)}
+    parts = [compare(made[y - 1], made[y]).select(F.lit(y).alias("year"), "*") for y in made if y - 1 in made]
+    if not parts:
+        none = make(spark, d, 0).limit(0)
+        parts = [compare(none, none).select(F.lit(0).alias("year"), "*").limit(0)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # sources and terms
@@ -94,10 +116,11 @@ def file_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Additions and removals of one step as one frame with an operation."""
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    a, b = (tables.window_quads(orders, customers, y) for y in (BEFORE, AFTER))
-    return b.exceptAll(a).withColumn("op", F.lit("add")).unionByName(a.exceptAll(b).withColumn("op", F.lit("remove")))
+    """Additions and removals of each yearly step as one frame with an operation."""
+    def step(a: DataFrame, b: DataFrame) -> DataFrame:
+        return b.exceptAll(a).withColumn("op", F.lit("add")).unionByName(a.exceptAll(b).withColumn("op", F.lit("remove")))
+
+    return each_step(spark, d, year_quads, step)
 
 
 # graph
@@ -248,42 +271,48 @@ def degree_statistics(spark: SparkSession, d: str) -> DataFrame:
 # snapshots
 
 
+def _known_before(spark: SparkSession, d: str, how: str) -> DataFrame:
+    """Edges of each year joined by subject with the summaries of the year before."""
+    def step(a: DataFrame, b: DataFrame) -> DataFrame:
+        return graph.edges(b, SIGNAL).join(models.summarize(a, CONFIG).select(F.col("v").alias("s")), "s", how)
+
+    return each_step(spark, d, year_quads, step)
+
+
 def unknown_subject_edges(spark: SparkSession, d: str) -> DataFrame:
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    now = graph.edges(tables.window_quads(orders, customers, AFTER), SIGNAL)
-    return now.join(snapshot(spark, d, BEFORE).select(F.col("v").alias("s")), "s", "left_anti")
+    return _known_before(spark, d, "left_anti")
 
 
 def known_subject_edges(spark: SparkSession, d: str) -> DataFrame:
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    now = graph.edges(tables.window_quads(orders, customers, AFTER), SIGNAL)
-    return now.join(snapshot(spark, d, BEFORE).select(F.col("v").alias("s")), "s", "left_semi")
+    return _known_before(spark, d, "left_semi")
 
 
 def _diff(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.diff(summary.imprints(snapshot(spark, d, BEFORE)), summary.imprints(snapshot(spark, d, AFTER)))
+    return each_step(spark, d, snapshot, lambda a, b: incremental.diff(summary.imprints(a), summary.imprints(b)))
 
 
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).select("v", "status", F.coalesce("neighbor_only", F.lit(False)).alias("neighbor_only"))
+    return _diff(spark, d).select("year", "v", "status", F.coalesce("neighbor_only", F.lit(False)).alias("neighbor_only"))
 
 
 def neighbor_changes(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).filter("neighbor_only").select("v")
+    return _diff(spark, d).filter("neighbor_only").select("year", "v")
 
 
 def payload_diff(spark: SparkSession, d: str) -> DataFrame:
-    return _diff(spark, d).filter("status != 'deleted' and payload_added + payload_removed > 0").select("v", "payload_added", "payload_removed")
+    return _diff(spark, d).filter("status != 'deleted' and payload_added + payload_removed > 0").select("year", "v", "payload_added", "payload_removed")
 
 
 def stale_imprints(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.stale(summary.imprints(snapshot(spark, d, BEFORE)), summary.imprints(snapshot(spark, d, AFTER))).select("v")
+    return each_step(spark, d, snapshot, lambda a, b: incremental.stale(summary.imprints(a), summary.imprints(b)).select("v"))
 
 
 def deleted_summaries(spark: SparkSession, d: str) -> DataFrame:
-    a, b = pair(spark, d)
-    named = summary.primary(a).select("sig", joined("labels").alias("labels"), neighbor_text("neighbors").alias("neighbors"))
-    return incremental.deleted_summaries(summary.imprints(a), summary.imprints(b)).join(named, "sig").select("labels", "neighbors")
+    def step(a: DataFrame, b: DataFrame) -> DataFrame:
+        named = summary.primary(a).select("sig", joined("labels").alias("labels"), neighbor_text("neighbors").alias("neighbors"))
+        return incremental.deleted_summaries(summary.imprints(a), summary.imprints(b)).join(named, "sig").select("labels", "neighbors")
+
+    return each_step(spark, d, snapshot, step)
 
 
 def orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -301,24 +330,21 @@ def change_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_apply(spark: SparkSession, d: str) -> DataFrame:
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    a, b = (tables.window_quads(orders, customers, y) for y in (BEFORE, AFTER))
-    return incremental.apply_delta(a, b.exceptAll(a), a.exceptAll(b))
+    return each_step(spark, d, year_quads, lambda a, b: incremental.apply_delta(a, b.exceptAll(a), a.exceptAll(b)))
 
 
 def delta_touched(spark: SparkSession, d: str) -> DataFrame:
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    a, b = (tables.window_quads(orders, customers, y) for y in (BEFORE, AFTER))
-    return incremental.touched(b.exceptAll(a), a.exceptAll(b), a.unionByName(b), SIGNAL)
+    return each_step(spark, d, year_quads, lambda a, b: incremental.touched(b.exceptAll(a), a.exceptAll(b), a.unionByName(b), SIGNAL))
 
 
 def incremental_equals_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Differences between the summary kept by a delta and one computed afresh: none."""
-    orders, customers = table(spark, d, "orders"), table(spark, d, "customer")
-    a, b = (materialise(tables.window_quads(orders, customers, y), "quads") for y in (BEFORE, AFTER))
-    add, gone = materialise(b.exceptAll(a), "add"), materialise(a.exceptAll(b), "gone")
-    kept, _ = incremental.update(materialise(models.summarize(a, CONFIG), "past"), a, add, gone, CONFIG)
-    return summary.same_summaries(kept, models.summarize(b, CONFIG))
+    """Differences between the summary kept by each yearly delta and one computed afresh: none."""
+    def step(a: DataFrame, b: DataFrame) -> DataFrame:
+        add, gone = materialise(b.exceptAll(a), "add"), materialise(a.exceptAll(b), "gone")
+        kept, _ = incremental.update(materialise(models.summarize(a, CONFIG), "past"), a, add, gone, CONFIG)
+        return summary.same_summaries(kept, models.summarize(b, CONFIG))
+
+    return each_step(spark, d, year_quads, step)
 
 
 def index_by_element(spark: SparkSession, d: str) -> DataFrame:
