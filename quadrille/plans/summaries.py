@@ -18,8 +18,6 @@ from ..sinks import mapping, vertex_hashes
 from ..sources import citations, eventlog, nquads, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: The years of the counters and orphans.
-YEARS = range(1996, 2002)
 #: Every year between the first and the last order is a snapshot with jobs of its own; more than this many raise.
 MOST_YEARS = 100
 SIGNAL = tables.SIGNAL
@@ -81,10 +79,13 @@ def year_quads(spark: SparkSession, d: str, year: int) -> DataFrame:
     return tables.window_quads(table(spark, d, "orders"), table(spark, d, "customer"), year)
 
 
-def each_step(spark: SparkSession, d: str, make: Callable[[SparkSession, str, int], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """What ``compare`` tells of each year against the one before, with the year. ``make`` gives a year's frame; each is stored once."""
+def each_step(spark: SparkSession, d: str, make: Callable[[SparkSession, str, int], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], first: bool = False) -> DataFrame:
+    """What ``compare`` tells of each year against the one before, with the year. ``make`` gives a year's frame; each is stored once.
+
+    ``first``: the first year is compared too, with nothing.
+    """
     made = {y: materialise(make(spark, d, y), "year") for y in order_years(spark, d)}
-    parts = [compare(made[y - 1], made[y]).select(F.lit(y).alias("year"), "*") for y in made if y - 1 in made]
+    parts = [compare(made.get(y - 1, made[y].limit(0)), made[y]).select(F.lit(y).alias("year"), "*") for y in made if first or y - 1 in made]
     if not parts:
         none = make(spark, d, 0).limit(0)
         parts = [compare(none, none).select(F.lit(0).alias("year"), "*").limit(0)]
@@ -317,16 +318,12 @@ def deleted_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 def orphans(spark: SparkSession, d: str) -> DataFrame:
     """Secondary summaries that went between any two years in turn."""
-    made = {y: materialise(snapshot(spark, d, y), "year") for y in YEARS}
-    parts = [incremental.orphaned_targets(made[y - 1], made[y]).select(F.lit(y).alias("year"), joined("labels").alias("labels")) for y in YEARS if y - 1 in made]
-    return reduce(DataFrame.unionByName, parts)
+    return each_step(spark, d, snapshot, lambda a, b: incremental.orphaned_targets(a, b).select(joined("labels").alias("labels")))
 
 
 def change_counters(spark: SparkSession, d: str) -> DataFrame:
     """The counters of each year against the one before; the first against nothing."""
-    made = {y: materialise(snapshot(spark, d, y), "year") for y in YEARS}
-    parts = [incremental.change_counters(made.get(y - 1, made[y].limit(0)), made[y]).select(F.lit(y).alias("year"), "*") for y in YEARS]
-    return reduce(DataFrame.unionByName, parts)
+    return each_step(spark, d, snapshot, incremental.change_counters, first=True)
 
 
 def delta_apply(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import duckdb
 import pytest
@@ -58,3 +59,21 @@ def test_no_pair_of_years(spark, tmp_path, years):
 def test_too_many_years(spark, tmp_path):
     with pytest.raises(ValueError):
         summaries.order_years(spark, save(spark, tmp_path, [1, 1990]))
+
+
+@pytest.mark.parametrize("name,years", [("change_counters", [1990, 1991, 1992, 1993]), ("orphans", [1991, 1992, 1993])])
+def test_from_the_first_year_on(spark, four_years, name, years):
+    sql = re.sub(r"199[5-9]|200\d", lambda m: str(int(m[0]) - 6), oracles.ORACLES[name])  # starts with 1996
+    db = duckdb.connect()
+    for t in ("orders", "customer"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{four_years}/{t}.parquet/*.parquet'")
+    got = summaries.QUERIES[name](spark, four_years)
+    cols = sorted(got.columns)
+    want = db.sql(sql).filter("year <= 1993").select(*[f'"{c}"' for c in cols]).fetchall()
+    rows = got.select(*cols).collect()
+    assert sorted({r.year for r in rows}) == years
+    assert sorted(tuple(map(str, r)) for r in rows) == sorted(tuple(map(str, r)) for r in want)
+
+
+def test_counters_without_orders(spark, tmp_path):
+    assert summaries.QUERIES["change_counters"](spark, save(spark, tmp_path, [])).count() == 0
