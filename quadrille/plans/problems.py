@@ -63,7 +63,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = wide_table(table(spark, sf_dir, "paper_attributes"))
-    return wide.select("id", *[c for c in wide.columns if c not in ("ordinal", "id", "authors", "fields_of_study", "extra")],
+    return wide.select("*",
                        F.size(F.coalesce("authors", F.array().cast("array<string>"))).cast("bigint").alias("n_authors"),
                        F.size(F.coalesce("fields_of_study", F.array().cast("array<string>"))).cast("bigint").alias("n_fields"))
 

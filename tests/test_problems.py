@@ -12,6 +12,7 @@ from quadrille.operators.packed import author_positions, unpack
 from quadrille.operators.rejects import loaded, parse_block, rejected
 from quadrille.operators.snapshots import SnapshotIndex, imprint_hash, snapshot_changes
 from quadrille.operators.wide import filled_cells, wide_table
+from quadrille.plans.problems import p7_wide
 from quadrille.runtime import salted_join
 
 IMPRINT = "_id int, _timestamp long, _payload array<string>, _schemaelementid int, snapshot int"
@@ -179,3 +180,11 @@ def test_salted_join_keeps_all(spark):
     right = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, r int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert sorted(map(tuple, salted_join(left, right, ["k"], how, share=0.1, salts=4).collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+
+
+def test_wide_query_gives_the_values(spark, tmp_path):
+    data = [("1", "author", '"B"', 1), ("1", "author", '"A"', 2), ("1", "field-of-study", "f", 1), ("1", "isbn", "i", 1), ("1", "isbn", "j", 2), ("1", "year", "2001", 1), ("2", "title", "t", 1)]
+    spark.createDataFrame(data, "id string, label string, attribute string, n int").selectExpr("id", "label", "attribute", "timestamp_seconds(n) as loaded_at").write.parquet(f"{tmp_path}/paper_attributes.parquet")
+    one, two = p7_wide(spark, str(tmp_path)).orderBy("id").collect()
+    assert (one.authors, one.fields_of_study, one.extra, one.year, one.n_authors, one.n_fields) == (["B", "A"], ["f"], {"isbn": ["i", "j"]}, 2001, 2, 1)
+    assert (two.authors, two.fields_of_study, two.extra, two.title, two.n_authors) == (None, None, {}, "t", 0)
