@@ -8,6 +8,15 @@ import re
 # The lexical spaces of the XSD datatypes that are checked (dates also against the calendar).
 ZONE = r"(?:Z|[+-](?:0\d|1[0-3]):[0-5]\d|[+-]14:00)?"
 DAY = r"-?(?:[1-9]\d{3,}|0\d{3})-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
+YEAR = r"-?(?:[1-9]\d{3,}|0\d{3})"
+CLOCK = r"T(?=\d)(?:\d+H)?(?:\d+M)?(?:\d+(?:\.\d+)?S)?"
+BASE64 = r"[A-Za-z0-9+/] ?"
+NAME_START = r"A-Z_a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u02FF\u0370-\u037D\u037F-\u1FFF\u200C-\u200D\u2070-\u218F\u2C00-\u2FEF\u3001-\uD7FF\uF900-\uFDCF\uFDF0-\uFFFD\U00010000-\U000EFFFF"
+NAME_CHAR = NAME_START + r"0-9.\u00B7\u0300-\u036F\u203F-\u2040\-"
+NC_NAME = f"[{NAME_START}][{NAME_CHAR}]*"
+QNAME = f"(?:{NC_NAME}:)?{NC_NAME}"
+NMTOKEN = f"[:{NAME_CHAR}]+"
+UNSIGNED = r"\+?\d+|-0+"
 XSD = {
     "string": r"[\s\S]*",
     "boolean": r"true|false|1|0",
@@ -26,8 +35,35 @@ XSD = {
     "int": r"[+-]?\d+",
     "short": r"[+-]?\d+",
     "byte": r"[+-]?\d+",
+    "nonPositiveInteger": r"-\d+|\+?0+",
+    "negativeInteger": r"-0*[1-9]\d*",
+    "unsignedLong": UNSIGNED,
+    "unsignedInt": UNSIGNED,
+    "unsignedShort": UNSIGNED,
+    "unsignedByte": UNSIGNED,
+    "dateTimeStamp": DAY + r"T(?:(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d+)?|24:00:00(?:\.0+)?)" + ZONE.removesuffix("?"),
+    "duration": rf"-?P(?!\Z)(?:\d+Y)?(?:\d+M)?(?:\d+D)?(?:{CLOCK})?",
+    "yearMonthDuration": r"-?P(?!\Z)(?:\d+Y)?(?:\d+M)?",
+    "dayTimeDuration": rf"-?P(?!\Z)(?:\d+D)?(?:{CLOCK})?",
+    "gYearMonth": YEAR + r"-(?:0[1-9]|1[0-2])" + ZONE,
+    "gMonthDay": r"--(?:(?:0[13578]|1[02])-(?:0[1-9]|[12]\d|3[01])|(?:0[469]|11)-(?:0[1-9]|[12]\d|30)|02-(?:0[1-9]|[12]\d))" + ZONE,
+    "gMonth": r"--(?:0[1-9]|1[0-2])" + ZONE,
+    "gDay": r"---(?:0[1-9]|[12]\d|3[01])" + ZONE,
+    "hexBinary": r"(?:[0-9A-Fa-f]{2})*",
+    "base64Binary": rf"(?:(?:{BASE64}){{4}})*(?:(?:{BASE64}){{3}}[A-Za-z0-9+/]|(?:{BASE64}){{2}}[AEIMQUYcgkosw048] ?=|{BASE64}[AQgw] ?= ?=)|",
+    "normalizedString": r"[^\t\n\r]*",
+    "token": r"(?:[^ \t\n\r]+(?: [^ \t\n\r]+)*)?",
+    "language": r"[A-Za-z]{1,8}(?:-[A-Za-z0-9]{1,8})*",
+    "Name": f"[:{NAME_START}][:{NAME_CHAR}]*",
+    "NMTOKEN": NMTOKEN,
+    "NMTOKENS": f"{NMTOKEN}(?: {NMTOKEN})*",
+    **dict.fromkeys(("NCName", "ID", "IDREF", "ENTITY"), NC_NAME),
+    **dict.fromkeys(("IDREFS", "ENTITIES"), f"{NC_NAME}(?: {NC_NAME})*"),
+    **dict.fromkeys(("QName", "NOTATION"), QNAME),
 }
-BOUNDS = {"long": 63, "int": 31, "short": 15, "byte": 7}
+#: Least and greatest value of the bounded integers.
+BOUNDS = {k: (-(2**n), 2**n - 1) for k, n in {"long": 63, "int": 31, "short": 15, "byte": 7}.items()}
+BOUNDS |= {k: (0, 2**n - 1) for k, n in {"unsignedLong": 64, "unsignedInt": 32, "unsignedShort": 16, "unsignedByte": 8}.items()}
 XSD_RE = {k: re.compile(v, re.ASCII) for k, v in XSD.items()}
 XSD_NAMES = ("xsd:", "http://www.w3.org/2001/XMLSchema#")
 
@@ -65,14 +101,29 @@ def valid_text(text: str, datatype: str) -> bool:
         return True
     if not XSD_RE[name].fullmatch(text):
         return False
-    if name in ("date", "dateTime"):
+    if name in ("date", "dateTime", "dateTimeStamp"):
         year, month, day = re.match(r"(-?\d+)-(\d\d)-(\d\d)", text).groups()
         if day > "28":
             try:
                 datetime.date(2000 + int(year) % 400, int(month), int(day))
             except ValueError:
                 return False
-    return name not in BOUNDS or -(2 ** BOUNDS[name]) <= int(text) < 2 ** BOUNDS[name]
+    if name not in BOUNDS:
+        return True
+    low, high = BOUNDS[name]
+    digits = text.lstrip("+-").lstrip("0") or "0"
+    return len(digits) <= 20 and low <= int(digits) * (-1 if text[0] == "-" else 1) <= high
+
+
+def unescaped(text: str) -> str:
+    """The characters that a literal's escapes stand for."""
+    def one(m: re.Match) -> str:
+        if m[1][0] not in "uU":
+            return {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}.get(m[1], m[1])
+        n = int(m[1][1:], 16)
+        return chr(n) if n <= 0x10FFFF else m[0]
+
+    return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", one, text) if "\\" in text else text
 
 
 def diagnose(line: str) -> tuple[str | None, Statement | None]:
@@ -124,7 +175,7 @@ def diagnose(line: str) -> tuple[str | None, Statement | None]:
                     cut = True
                     i = re.compile(r"[^\s]*").match(line, i).end()
                 else:
-                    wrong = wrong or not IRI_RE.fullmatch(line[i + 1 : end]) or not valid_text(text, line[i + 1 : end])
+                    wrong = wrong or not IRI_RE.fullmatch(line[i + 1 : end]) or not valid_text(unescaped(text), line[i + 1 : end])
                     i = end + 1
             elif i < n and line[i] not in " \t.":
                 return "quoting", None

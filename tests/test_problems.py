@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -188,3 +189,23 @@ def test_wide_query_gives_the_values(spark, tmp_path):
     one, two = p7_wide(spark, str(tmp_path)).orderBy("id").collect()
     assert (one.authors, one.fields_of_study, one.extra, one.year, one.n_authors, one.n_fields) == (["B", "A"], ["f"], {"isbn": ["i", "j"]}, 2001, 2, 1)
     assert (two.authors, two.fields_of_study, two.extra, two.title, two.n_authors) == (None, None, {}, "t", 0)
+
+
+@pytest.mark.parametrize("datatype,good,bad", [
+    ("duration", ["P1Y2M3DT4H5M6.7S", "-P1D", "PT0S"], ["", "P", "PT", "P1YT", "1Y", "P1S", "P1.5D"]), ("yearMonthDuration", ["P1Y", "P3M"], ["P1D", "P"]), ("dayTimeDuration", ["P1DT1H", "PT1M"], ["P1Y", "PT", "P"]),
+    ("hexBinary", ["", "0aFF"], ["0", "0g"]), ("base64Binary", ["", "YWJj", "YWI=", "YQ==", "YW Jj", "YWJjYWJj"], ["Y", "YWJ", "YR==", "YWK=", "====", "YW*j"]),
+    ("gYearMonth", ["2001-10", "-0044-03Z", "2001-10+02:00"], ["2001-13", "01-10", "2001"]), ("gMonthDay", ["--02-29", "--12-31Z"], ["--02-30", "--04-31", "-12-31", "--13-01"]), ("gMonth", ["--12"], ["--13", "--1"]), ("gDay", ["---31"], ["---32", "--31"]),
+    ("nonPositiveInteger", ["0", "-0", "+0", "-12"], ["1", "+1", ""]), ("negativeInteger", ["-1", "-010"], ["0", "-0", "1"]), ("nonNegativeInteger", ["0", "-0"], ["-1"]),
+    ("unsignedLong", ["18446744073709551615", "-0", "+" + "0" * 5000 + "1"], ["18446744073709551616", "-1", "9" * 5000]), ("unsignedInt", ["4294967295"], ["4294967296", "-1"]), ("unsignedShort", ["65535"], ["65536"]), ("unsignedByte", ["255"], ["256", "x"]),
+    ("long", ["-9223372036854775808"], ["9223372036854775808", "-9223372036854775809"]), ("dateTimeStamp", ["2001-01-01T00:00:00Z"], ["2001-01-01T00:00:00", "2001-02-30T00:00:00Z"]), ("normalizedString", [" a  b "], ["a\tb"]),
+    ("token", ["", "a b"], [" a", "a ", "a  b", "a\nb"]), ("language", ["en", "de-CH-1996"], ["", "e_n", "abcdefghi"]), ("Name", ["a:b", "_x", "\u00e9"], ["1a", "", "a b"]), ("NCName", ["a-1"], ["a:b", "-a"]), ("NMTOKEN", ["1a:"], ["", "a b"]), ("NMTOKENS", ["1 b"], ["a  b", ""]),
+    ("QName", ["a:b", "b"], ["a:", ":b", "a:b:c"]), ("ID", ["x"], ["1"]), ("IDREFS", ["x y"], ["x 1"]),
+])
+def test_lexical_spaces(datatype, good, bad):
+    for prefix in ("xsd:", "http://www.w3.org/2001/XMLSchema#"):
+        assert [x for x in good if not valid_text(x, prefix + datatype)] == [] and [x for x in bad if valid_text(x, prefix + datatype)] == []
+
+
+def test_rare_datatypes_are_read_unescaped():
+    assert diagnose('<a> <b> "P"^^<xsd:duration> <g> .')[0] == "value" and diagnose('<a> <b> "P1D"^^<xsd:duration> <g> .')[0] is None
+    assert diagnose(r'<a> <b> "\u00e9"^^<xsd:NCName> <g> .')[0] is None and diagnose(r'<a> <b> "a\tb"^^<xsd:token> <g> .')[0] == "value"
