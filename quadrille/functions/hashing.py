@@ -59,6 +59,11 @@ def summary_id(labels: list[str], neighbors: dict[str, list[str]]) -> int:
     return wrap32(total)
 
 
+def edge_id(summary: int, prop: str) -> int:
+    """The id of a summary's edge: the hash of the summary's id in decimal and the property."""
+    return murmur3_string(f"{summary}{prop}")
+
+
 @F.pandas_udf(T.IntegerType())
 def ref_summary_id(labels: pd.Series, properties: pd.Series, targets: pd.Series) -> pd.Series:
     """summary_id of (labels, property names, their targets' labels), over distinct summaries."""

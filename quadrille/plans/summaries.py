@@ -14,7 +14,7 @@ from ..config import SummaryConfig
 from ..functions.terms import is_literal, normalise
 from ..operators import graph, incremental, models, stats, summary
 from ..runtime import materialise, salted_join, spread, work_path
-from ..sinks import mapping, vertex_hashes
+from ..sinks import edge_ids, mapping, vertex_hashes
 from ..sources import citations, eventlog, nquads, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,6 +253,10 @@ def vertex_summary_mapping(spark: SparkSession, d: str) -> DataFrame:
     return mapping(stored(spark, d))
 
 
+def summary_edge_hash(spark: SparkSession, d: str) -> DataFrame:
+    return edge_ids(COMPLEX(spark, d))
+
+
 def vertex_hash(spark: SparkSession, d: str) -> DataFrame:
     return vertex_hashes(edges(spark, d))
 
@@ -407,6 +411,6 @@ def eventlog_intervals(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     quads_from_tables, nquad_format_parse, malformed_filter, term_normalize, file_lines, delta_scan, vertex_labels, vertex_labels_all_signal, edges_directed, edges_undirected, literal_filter, triplets, graph_vertices,
     subject_bundles, class_collection, class_collection_undirected, attribute_collection, attribute_collection_undirected, complex_collection, complex_collection_undirected, complex_collection_all_neighbors, k_bisimulation,
-    summary_vertices, summary_edges, secondary_summaries, summary_payload, summary_instances, imprints, completeness_counts, index_information, summary_counts, ntriples_export, vertex_summary_mapping, vertex_hash,
+    summary_vertices, summary_edges, secondary_summaries, summary_payload, summary_instances, imprints, completeness_counts, index_information, summary_counts, ntriples_export, vertex_summary_mapping, summary_edge_hash, vertex_hash,
     degree_distribution, degree_statistics, unknown_subject_edges, known_subject_edges, snapshot_diff, neighbor_changes, payload_diff, stale_imprints, deleted_summaries, orphans, change_counters, delta_apply, delta_touched,
     incremental_equals_batch, index_by_element, citation_quads, citation_lines, entities_per_year, cumulative_snapshots, citation_summary, eventlog_phases, eventlog_intervals)}

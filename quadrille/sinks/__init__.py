@@ -26,6 +26,14 @@ def mapping(summaries: DataFrame) -> DataFrame:
     return summaries.select("v", "sig").join(ids, "sig").select("primary_vertex_hash", ref_hash("v").alias("summarized_vertex_hash"))
 
 
+def edge_ids(summaries: DataFrame) -> DataFrame:
+    """primary_vertex_hash, property, edge_hash: one row for each outgoing edge of a distinct summary."""
+    t = F.transform("neighbors", lambda n: n["t"])
+    p = F.transform("neighbors", lambda n: n["p"])
+    ids = summary.primary(summaries).select(ref_summary_id("labels", p, t).alias("primary_vertex_hash"), F.explode(p).alias("property"))
+    return ids.withColumn("edge_hash", ref_hash(F.concat(F.col("primary_vertex_hash").cast("string"), "property")))
+
+
 def vertex_hashes(edge: DataFrame) -> DataFrame:
     """vertex, hash of the distinct subjects."""
     return edge.select(F.col("s").alias("vertex")).distinct().select("vertex", ref_hash("vertex").alias("hash"))

@@ -4,9 +4,10 @@ import pytest
 from conftest import rows
 
 from quadrille.config import SummaryConfig
+from quadrille.functions.hashing import edge_id, murmur3_string, summary_id
 from quadrille.operators import graph, incremental, models, stats, summary
 from quadrille.plans.runs import run_snapshots
-from quadrille.sinks import mapping, read_store, vertex_hashes, yearly_graphs
+from quadrille.sinks import edge_ids, mapping, read_store, vertex_hashes, yearly_graphs
 from quadrille.sources.nquads import quads_from_lines, read_nquads
 from quadrille.streaming.snapshots import follow
 
@@ -68,6 +69,13 @@ def test_models_on_the_first_snapshot(spark):
     assert vertex_hashes(graph.edges(q, "type")).count() == 2
 
 
+def test_edge_ids(spark):
+    got = {(r.primary_vertex_hash, r.property): r.edge_hash for r in edge_ids(models.summarize(quads(spark, FIRST), CONFIG)).collect()}
+    person, organisation = summary_id(["person"], {"livesin": [], "name": [], "worksfor": ["organisation"]}), summary_id(["organisation"], {"name": []})
+    assert set(got) == {(person, "livesin"), (person, "name"), (person, "worksfor"), (organisation, "name")}
+    assert all(h == edge_id(s, p) == murmur3_string(str(s) + p) for (s, p), h in got.items()) and len(set(got.values())) == 4
+
+
 def test_signals(spark):
     q = quads(spark, FIRST)
     assert graph.labels(q, None).count() == 0 and graph.edges(q, None).count() == 6
