@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import is_literal
-from ..runtime import hot_join
+from ..runtime import hot_join, materialise
 
 EVERY = "*"
 
@@ -51,5 +51,6 @@ def triplets(edge: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def subject_bundles(edge: DataFrame) -> DataFrame:
-    """s, n distinct edges: the set of edges of each subject, counted."""
-    return edge.distinct().groupBy("s").agg(F.count("*").alias("n"))
+    """s, p, o, g, n: the set of distinct edges of each subject as rows, so that no bundle is a huge array, and their number."""
+    bundles = materialise(edge.select("s", "p", "o", "g").distinct(), "bundles")
+    return hot_join(bundles, bundles.groupBy("s").agg(F.count("*").alias("n")), ["s"])

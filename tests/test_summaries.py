@@ -76,6 +76,12 @@ def test_edge_ids(spark):
     assert all(h == edge_id(s, p) == murmur3_string(str(s) + p) for (s, p), h in got.items()) and len(set(got.values())) == 4
 
 
+def test_bundles_hold_their_edges(spark):
+    e = frame(spark, [("a", "p", "b", "g"), ("a", "p", "b", "g"), ("a", "q", "c", None), ("b", "p", "c", "h")])
+    got = graph.subject_bundles(e).select("s", "p", "o", "g", "n").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", "p", "b", "g", 2), ("a", "q", "c", None, 2), ("b", "p", "c", "h", 1)]))
+
+
 def test_signals(spark):
     q = quads(spark, FIRST)
     assert graph.labels(q, None).count() == 0 and graph.edges(q, None).count() == 6
