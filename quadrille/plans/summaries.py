@@ -237,7 +237,7 @@ def completeness_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_information(spark: SparkSession, d: str) -> DataFrame:
-    return summary.index_information(stored(spark, d)).groupBy("types", "properties").agg(F.count("*").alias("summaries"))
+    return summary.index_information(stored(spark, d))
 
 
 def summary_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -245,8 +245,7 @@ def summary_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ntriples_export(spark: SparkSession, d: str) -> DataFrame:
-    lines = summary.ntriples(stored(spark, d), "http://example.org/summary", SIGNAL)
-    return lines.select(F.regexp_extract("line", r"^<[^>]*> <([^>]*)>", 1).alias("predicate")).groupBy("predicate").agg(F.count("*").alias("triples"))
+    return summary.ntriples(stored(spark, d), "http://example.org/summary", SIGNAL)
 
 
 def vertex_summary_mapping(spark: SparkSession, d: str) -> DataFrame:
@@ -373,8 +372,8 @@ def entities_per_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cumulative_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    papers = table(spark, d, "papers").select("id", "year").distinct()
-    return citations.cumulative(papers, "year").groupBy("snapshot").agg(F.count("*").alias("papers"))
+    """The quads of each year and all years before it; year is the one a quad comes from."""
+    return citations.cumulative(citations.paper_quads(table(spark, d, "papers"), year_column=True), "year")
 
 
 def citation_summary(spark: SparkSession, d: str) -> DataFrame:

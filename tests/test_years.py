@@ -77,3 +77,22 @@ def test_from_the_first_year_on(spark, four_years, name, years):
 
 def test_counters_without_orders(spark, tmp_path):
     assert summaries.QUERIES["change_counters"](spark, save(spark, tmp_path, [])).count() == 0
+
+
+def test_records_not_counts(spark, tmp_path, monkeypatch):
+    data = [("a", "type", "x", "g"), ("a", "p", "b", "g"), ("b", "type", "y", "g"), ("b", "q", '"t"', "g")]
+    monkeypatch.setattr(summaries, "all_quads", lambda *_: spark.createDataFrame(data, "s string, p string, o string, g string"))
+    lines = [r.line for r in summaries.ntriples_export(spark, "").collect()]
+    assert len(lines) == 6 and all(re.fullmatch(r"<http://example.org/summary#\w+> <(type|p|q)> <[^<>]+> \.", x) for x in lines)
+    info = summaries.index_information(spark, "").select("sig", "types", "properties").collect()
+    assert len({r.sig for r in info}) == 4 and sorted((r.types, r.properties) for r in info) == [(0, 0), (1, 0), (1, 1), (1, 1)]
+
+
+def test_cumulative_snapshots_hold_quads(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    few = spark.read.parquet(f"{sf}/papers.parquet").filter("year is not null").limit(5)
+    few.write.parquet(f"{tmp_path}/papers.parquet")
+    got = summaries.cumulative_snapshots(spark, str(tmp_path))
+    quads = {tuple(r) for r in summaries.citations.paper_quads(spark.read.parquet(f"{tmp_path}/papers.parquet"), True).select("year", "s", "p", "o", "g").collect()}
+    want = [(n, *q) for n in {q[0] for q in quads} for q in quads if q[0] <= n]
+    assert sorted(tuple(r) for r in got.select("snapshot", "year", "s", "p", "o", "g").collect()) == sorted(want)
