@@ -14,24 +14,33 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-# Abbreviations that do not end a sentence whatever follows, by language.
+# Abbreviations that do not end a sentence whatever follows, in general use, by language.
 NEVER = frozenset("""
-dr prof mr mrs ms mx st sr sra dra srta mm mme mlle hr fr dott sig
-fig figs sect sec no nos vol vols pp p ch chap chaps cap caps eq ref refs tab app par art
-cf vs viz approx ca max min incl excl e.g i.e resp al
-vgl kap abb nr s.o z.b d.h bzw sog evtl ggf bspw abs bd hrsg
-ej ex env éd
-см рис гл стр табл т.е напр проф г-н
-π.χ σχ κ βλ δηλ σελ κεφ
-डॉ श्री प्रो
-د أ م
+approx apt art asst attn ca cf ch chap chaps dr e.g ed eds eq eqs excl fig figs i.e incl max messrs min mr mrs ms mt mx no nos p pp par prof ref refs resp sect sec st tab viz vol vols vs
+abb abs abt anh anm aufl bd bde bearb bspw bzgl bzw d.h dgl dipl einschl entspr evtl exkl frl geb gem gest ggf ggü hr hrn hrsg ing inkl insb kap lfd lt mag mio mrd nördl nr östl s.o s.u sog str südl tägl tel u.a vgl westl z.b z.t zzgl zzt
+app av chap dir env ex éd fasc hab ibid mgr mlle mlles mm mme mmes ste trad tél
+aprox avda cap dra ej gral núm núms pág págs profa sr sra sras sres srs tfno ud uds vd vds
+arch avv cfr dott dott.ssa pag pagg prof.ssa sig sigg
+акад г-жа г-н гл доц им инж корп млн млрд напр просп проф рис см ст стр т.е табл тыс ул
+αρ βλ δηλ κ κεφ λ.χ π.χ πρβλ σελ σχ τηλ
+डॉ प्रो श्री
+أ د م
 """.split())
+# Titles, written with a capital, that stand before a name.
+TITLES = frozenset("adm amb brig capt cdr cmdr col cpl fr gen gov hon insp jr lieut lt maj pfc pres pvt rep rev sen sgt sr supt".split())
+# Month names cut short, which do not end a sentence before a digit.
+DATED = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec jän mrz okt dez janv févr avr juil déc ene abr ago dic gen mag giu lug ott янв февр апр авг сент окт нояб дек".split())
 # Abbreviations that may end a sentence; what follows decides.
 MAYBE = frozenset("""
-etc usw u.s.w a.m p.m inc ltd co corp jr u.k u.s univ dept ff т.д т.п г κ.λπ κλπ
+etc usw usf u.s.w a.m p.m inc ltd co corp jr sr u.k u.s u.s.a univ dept ff d.c b.c a.d ph.d
+т.д т.п т.к г др κ.λπ κλπ κτλ π.μ μ.μ
+""".split())
+# German words that an ordinal number stands before.
+MONTHS = frozenset("""
+Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember
+Tag Woche Monat Quartal Halbjahr Jahr Jahrzehnt Jahrhundert Jahrtausend Semester Geburtstag Jahrestag Weltkrieg Mal
+Abschnitt Absatz Auflage Ausgabe Band Kapitel Teil Etage Stock Klasse Platz Rang Runde Sitzung Spieltag
 """.split())
-# German month names after an ordinal day.
-MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Quartal Jahrhundert Kapitel".split())
 
 ENDS = ".!?…。！？।॥؟"
 OPEN_QUOTES = {"“": 2, "„": 3, "«": 4, "「": 5, "『": 6}
@@ -40,6 +49,7 @@ BRACKETS_OPEN, BRACKETS_CLOSE = "([（［【", ")]）］】"
 OPENERS = "\"'“„«「『([（［【¿¡‘"
 THAI = "฀-๿"
 UNCASED = re.compile(rf"[{THAI}֐-ࣿऀ-෿ᄀ-ᇿ぀-ヿ㄰-㆏㐀-鿿가-힣]")
+THAI_CHAR = re.compile(f"[{THAI}]")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 MARK = re.compile(
     rf"[ \t\xa0]*(?:\r\n|[\n\r\x0b\x0c\x85  ])\s*"
@@ -50,11 +60,11 @@ MARK = re.compile(
 )
 BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 ITEM = re.compile(r"(?:[-*•‣◦▪·–][ \t\xa0]+|\(?(\d{1,3})[.)][ \t\xa0]+|\(?[a-z]\)[ \t\xa0]+)(?=\S)")
-WORD = re.compile(r"[^\s\"“”„«»「」()\[\]（）,;:]*$")
+#: From some place before it up to a mark: all the words but the last, then that one.
+WORD = re.compile(r"(?:[^\s\"“”„«»「」()\[\]（）,;:]*+[\s\"“”„«»「」()\[\]（）,;:])*+([^\s\"“”„«»「」()\[\]（）,;:]*+)")
 SPACED_ABBR = re.compile(r"(?:^|[\s(„«\"“])([^\W\d_])\.[\s\xa0]{1,2}([^\W\d_])$")
 NEXT_WORD = re.compile(r"\w+")
 JOINED = re.compile(r"(?<=[a-zß-öø-ÿ]{2}[.!?])(?=[A-ZÀ-Þ])|(?<=[a-zß-öø-ÿ]{2})\.(?=[A-ZÀ-Þ])")
-WORD_INSIDE = re.compile(r"[^\W\d_]{4}(?=[^\W\d_]{2})")
 DAY_BEFORE = re.compile(r"(?:^|[^\d.,:])\d{1,2}$")
 #: Characters of context that a symbol may depend on, on either side.
 CONTEXT = 80
@@ -158,7 +168,7 @@ def _after_close(text: str, at: int, end_inside: bool) -> int:
 
 def _full_stop(text: str, at: int, end: int) -> bool:
     """Whether the single dot at ``at`` ends a sentence, by the word before and what follows."""
-    word = JOINED.split(WORD.search(text, max(0, at - CONTEXT), at)[0])[-1]
+    word = JOINED.split(WORD.match(text, max(0, at - CONTEXT), at)[1])[-1]
     c, spaced, i = _next(text, end)
     if not c:
         return True
@@ -173,10 +183,10 @@ def _full_stop(text: str, at: int, end: int) -> bool:
             follow = NEXT_WORD.match(text, i)[0]
             return len(follow) == 1 and text[i + 1 : i + 2] in " '’" or follow[1:].islower() or follow[1:2].isupper() is False and len(follow) > 1
         return c in "\"“«„(" and plain and _starts(text, i)
-    if low in NEVER:
+    if low in NEVER or low in TITLES and word[:1].isupper() and c.isupper():
         return False
     if c.isdigit():
-        return low in MAYBE or bool(word) and not (len(word) == 1 and word.isalpha())
+        return low not in DATED and (low in MAYBE or bool(word) and not (len(word) == 1 and word.isalpha()))
     if c.islower() and not _starts(text, i):
         return False
     if low not in MAYBE and len(word) == 1 and word.isalpha() and (word.isupper() or not UNCASED.match(word)):
@@ -242,7 +252,7 @@ def symbols(text: str, begin: int = 0, stop: int | None = None) -> Iterator[tupl
             elif breaks and item:
                 n = item[1]
                 dated = n and (w := NEXT_WORD.match(text, item.end())) and w[0] in MONTHS
-                before = WORD.search(text, max(0, at - CONTEXT), at)[0].lower()
+                before = WORD.match(text, max(0, at - CONTEXT), at)[1].lower()
                 held = before.endswith(".") and before[:-1] in NEVER
                 if dated or held:
                     item = None
@@ -253,9 +263,9 @@ def symbols(text: str, begin: int = 0, stop: int | None = None) -> Iterator[tupl
                 last = item.end()
                 continue
             if len(breaks) < 2 and not (breaks and item):
-                if at and re.match(rf"[{THAI}]", text[at - 1]):
+                if at and THAI_CHAR.match(text, at - 1):
                     rest = text[end : end + 24]
-                    if re.match(rf"[{THAI}]", rest) or _starts(text, end) or re.match(r"\d+\s+[A-Za-z]{2}", rest) or rest[:1] in "\"“":
+                    if THAI_CHAR.match(rest) or _starts(text, end) or re.match(r"\d+\s+[A-Za-z]{2}", rest) or rest[:1] in "\"“":
                         yield at, end, kind, ("space",)
                         last = end
                         continue
@@ -299,38 +309,68 @@ def _add(out: list[tuple[int, int]], text: str, begin: int, end: int) -> None:
         out.append((begin, end))
 
 
-def cut_places(text: str, size: int) -> list[int]:
-    """Where a text may be cut into chunks of about ``size``: inside a word, so no mark is cut."""
-    places, at = [], size
-    while m := WORD_INSIDE.search(text, at):
-        places.append(m.end())
-        at = m.end() + size
-    return places
+# The finite alphabet, and the transducer as tables: a state is a byte, so a function on states is a string of bytes
+# and two functions are composed by one ``translate``.
+QUOTE_MARKS = sorted({(1, ())} | {(OPEN_QUOTES.get(c, 0), CLOSE_QUOTES.get(c, ())) for c in [*OPEN_QUOTES, *CLOSE_QUOTES]})
+ALPHABET = [
+    ("blank",), ("item", False), ("item", True), ("bullet",), ("space",), ("open",), ("close", False), ("close", True),
+    *[("end", x, y) for x in (False, True) for y in (False, True)],
+    *[("quote", o, c, colon, after) for o, c in QUOTE_MARKS for colon in (False, True) for after in range(3)],
+]
+CODES = {(kind, symbol): 3 * i + kind for i, symbol in enumerate(ALPHABET) for kind in range(3)}
+IDENTITY = bytes(range(len(STATES)))
+
+
+def _table(pick: int) -> list[bytes]:
+    """For each code, what each state gives: ``pick`` 0 the next state, 1 the action; filled up to 256 for translate."""
+    return [bytes(delta(s, code % 3, ALPHABET[code // 3])[pick] for s in range(len(STATES))).ljust(256, b"\0") for code in range(3 * len(ALPHABET))]
+
 
+STEPS, ACTIONS = _table(0), _table(1)
+#: Symbols at which a unit may end before the mark; all others that end one end it after.
+CUT_BEFORE = frozenset(CODES[kind, symbol] for kind, symbol in CODES if symbol[0] in ("blank", "item", "space"))
+CUTS = frozenset(c for c, row in enumerate(ACTIONS) if any(row))
 
-def chunk_sentences(text: str, begin: int, stop: int, state: State) -> tuple[int | None, list[tuple[int, int]], int | None]:
-    """Of text[begin:stop] from a start state: where the unit that was open ends (None: not here),
-    the sentences that lie inside, and where the unit open at the end began (None: before)."""
-    cuts: list[int] = []
+
+def chunk_marks(text: str, begin: int, stop: int) -> tuple[bytes, list[int], list[int]]:
+    """(codes, ends, starts) of the marks of text[begin:stop]: where the unit before would end and the one after
+    begin, white space left out, if the transducer cuts there. Offsets count from ``begin``."""
+    codes, ends, starts = bytearray(), [], []
     for at, end, kind, symbol in symbols(text, begin, stop):
-        state, action = delta(state, kind, symbol)
-        if action:
-            cuts.append(at if action == BEFORE else end)
-    if not cuts:
-        return None, [], None
-    first: list[tuple[int, int]] = []
-    _add(first, text, begin, cuts[0])
-    inside: list[tuple[int, int]] = []
-    for a, b in zip(cuts, cuts[1:]):
-        _add(inside, text, a, b)
-    tail = stop - len(text[cuts[-1] : stop].lstrip())
-    return first[0][1] if first else begin, inside, tail
-
-
-def chunk_function(marks: list[tuple[int, int, int, tuple]]) -> list[State]:
-    """The state each start state ends in. States that meet are carried on as one."""
-    where = list(range(len(STATES)))
-    for _, _, kind, symbol in marks:
-        step = {s: delta(s, kind, symbol)[0] for s in set(where)}
-        where = [step[s] for s in where]
-    return where
+        code = CODES[kind, symbol]
+        codes.append(code)
+        if code not in CUTS:
+            ends.append(0)
+            starts.append(0)
+            continue
+        e = s = at if code in CUT_BEFORE else end
+        while e > begin and text[e - 1].isspace():
+            e -= 1
+        while s < stop and text[s].isspace():
+            s += 1
+        ends.append(e - begin)
+        starts.append(s - begin)
+    return bytes(codes), ends, starts
+
+
+def chunk_function(codes: bytes) -> bytes:
+    """The state each start state ends in."""
+    out = IDENTITY
+    for c in codes:
+        out = out.translate(STEPS[c])
+    return out
+
+
+def composed(first: bytes, second: bytes) -> bytes:
+    """The function that does ``first``, then ``second``."""
+    return first.translate(second.ljust(256, b"\0"))
+
+
+def chunk_cuts(codes: bytes, ends: list[int], starts: list[int], state: State) -> list[tuple[int, int]]:
+    """(end of the unit before, start of the one after) of each cut of a chunk entered in ``state``."""
+    out = []
+    for c, e, s in zip(codes, ends, starts):
+        if ACTIONS[c][state]:
+            out.append((e, s))
+        state = STEPS[c][state]
+    return out

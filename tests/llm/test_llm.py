@@ -1,6 +1,8 @@
+import functools
 import itertools
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -204,6 +206,20 @@ def test_boundaries(line):
     assert got == [x.strip() for x in line.split("|")]
 
 
+# titles, months and abbreviations that no test table is known to hold
+HELD = """Then Gov. Brown met Gen. Lee, Rev. Ames and Capt. Oz.| Lt. Col. Kay and Sen. Roe left.| It was Sgt. Poe.
+On Jan. 5 and Sept. 12 it ran.| In Dec. it stood still.| She came in mar.| Ok then.
+Das 3. Semester und der 2. Weltkrieg.| Bis zum 30. Geburtstag waren es 4 Mio. Euro inkl. Steuer.| Gut.
+Voir Mgr. Oul et Mmes. Ira.| La pág. 4 y el núm. 7 del Gral. Paz.| Fin.
+Рост на 3 млн. рублей, ул. Мира.| Конец."""
+
+
+@pytest.mark.parametrize("line", HELD.split("\n"))
+def test_held_out_abbreviations(line):
+    text = line.replace("|", "")
+    assert [text[a:b] for a, b in boundaries.sentences(text)] == [x.strip() for x in line.split("|")]
+
+
 LAYOUT = [
     ("Heading\n\nFirst one. Second\none here.\n\n1. Item one\n2. Item two. More.\n- Point", ["Heading", "First one.", "Second\none here.", "1. Item one", "2. Item two.", "More.", "- Point"]),
     ("  \r\n\r\nA b.\r\n\r\n* x\r\n• y", ["A b.", "* x", "• y"]),
@@ -220,24 +236,37 @@ def test_layout(text, want):
 
 def test_chunk_functions_compose():
     text = " ".join(TEXTS.replace("|", "").split("\n"))
-    places = [0, *boundaries.cut_places(text, 40), len(text)]
-    state, whole = boundaries.START, boundaries.chunk_function(list(boundaries.symbols(text)))
-    for a, b in zip(places, places[1:]):
-        state = boundaries.chunk_function(list(boundaries.symbols(text, a, b)))[state]
-    assert len(places) > 10 and state == whole[boundaries.START]
+    places = [0, *(m.end() for m in re.finditer(r"[^\W\d_]{4}(?=[^\W\d_]{2})", text))][::2] + [len(text)]
+    parts = [boundaries.chunk_function(boundaries.chunk_marks(text, a, b)[0]) for a, b in zip(places, places[1:])]
+    whole = boundaries.chunk_function(boundaries.chunk_marks(text, 0, len(text))[0])
+    assert len(places) > 10 and functools.reduce(boundaries.composed, parts) == whole
+    left, right = functools.reduce(boundaries.composed, parts[:4]), functools.reduce(boundaries.composed, parts[4:])
+    assert boundaries.composed(left, right) == whole  # composition is associative, so the scan may group as it likes
 
 
-@pytest.mark.parametrize("size,block", [(60, 3), (150, 2)])
+def test_tables_equal_the_transducer():
+    for (kind, symbol), code in boundaries.CODES.items():
+        for s in range(len(boundaries.STATES)):
+            assert (boundaries.STEPS[code][s], boundaries.ACTIONS[code][s]) == boundaries.delta(s, kind, symbol)
+
+
+@pytest.mark.parametrize("size,block", [(60, 3), (150, 2), (2048, 64)])
 def test_long_documents_equal_short_ones(spark, size, block):
     paragraphs = TEXTS.replace("|", "").split("\n")
     data = [(1, "\n\n".join(paragraphs)), (2, " ".join(paragraphs)), (3, "\n".join(paragraphs)), (4, "a" * 1000), (5, "word " * 400), (6, "9 . " * 300), (7, None), (8, ""), (9, "1. One two three\n2. Two three four"), (1, "Other text of one. Two."), (10, "A b. " * 200)]
     df = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("*", "1 as h", "2 as k", "3 as f", "4 as start_char")
-    whole = rows(sentences.sentence_units(df))
-    assert rows(sentences.sentence_units(df, size, block)) == whole
-    assert whole == sorted({(i, a, b) for i, t in data if t for a, b in boundaries.sentences(t)})
+    assert rows(sentences.sentence_units(df, size, block)) == sorted({(i, a, b) for i, t in data if t for a, b in boundaries.sentences(t)})
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size,block", [(300, 2), (2048, 64), (10_000, 1)])
+def test_all_documents_whatever_the_chunks(spark, size, block):
+    """Every text of the table through chunks, functions and scan equals one pass from the start state."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted({(r.doc_id, a, b) for r in docs.filter("text is not null").select("doc_id", "text").collect() for a, b in boundaries.sentences(r.text)})
+    assert rows(sentences.sentence_units(docs, size, block)) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet='aB. !?"“”()\n1-。', max_size=60))
 def test_sentences_cover_all_text(text):
