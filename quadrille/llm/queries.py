@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import materialise, spread
 from .formats import collapsed, further_copies
 from .mixing import mix, mix_shares
 from .names import name_clusters, variants
-from .packing import pack_fill, pack_texts
+from .packing import pack_checks, pack_fill, pack_texts
 from .sentences import sentence_units
 from .sql import ORACLES  # noqa: F401
 
@@ -48,6 +48,10 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_fill(p8_packs(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_checks(materialise(p8_packs(spark, sf_dir), "packs"), table(spark, sf_dir, "pack_sizes"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
@@ -60,4 +64,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_copies, p8_packs, p8_fill, p9_mix, p9_shares, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_copies, p8_packs, p8_fill, p8_checks, p9_mix, p9_shares, p10_found)}

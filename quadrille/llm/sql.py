@@ -14,4 +14,6 @@ g AS (SELECT rec, min(line_id) AS keep_id, count(*) AS copies FROM a GROUP BY 1)
 ORACLES: dict[str, str] = {
     "p4_found": P4 + "SELECT keep_id, line_id FROM a JOIN g USING (rec) WHERE line_id > keep_id",
     "p4_copies": P4 + "SELECT keep_id, copies FROM g",
+    # what must hold of any packing: each text once for each pack kind, no pack beyond its capacity, no needless cut
+    "p8_checks": "SELECT pack, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::BIGINT AS over, 0::BIGINT AS torn FROM (SELECT DISTINCT pack FROM pack_sizes WHERE capacity >= 1 AND pack IS NOT NULL)",
 }

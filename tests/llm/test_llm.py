@@ -144,6 +144,30 @@ def test_packs_hold_every_text_once(spark):
     assert {r.pack for r in fills} == {"s", "l"}
 
 
+def test_merges_get_open_windows_only(spark, monkeypatch):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "word " * rng.randint(1, 90)) for i in range(3000)], "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("s", 64), ("l", 200)], "pack string, capacity int")
+    seen, plain = [], packing.merge_step
+
+    def watched(left, capacities, number, units, windows, merge):
+        seen.append((units, max(r["count"] for r in left.groupBy("pack", (left.unit / merge).cast("int").alias("u")).count().collect())))
+        return plain(left, capacities, number, units, windows, merge)
+
+    monkeypatch.setattr(packing, "merge_step", watched)
+    got = packing.pack_texts(docs, sizes, rows=100, windows=8, merge=4)
+    assert [u for u, _ in seen] == [8, 2, 1] and all(n <= 8 * 4 for _, n in seen)
+    assert rows(packing.pack_checks(got, sizes)) == [("l", 3000, 0, 0), ("s", 3000, 0, 0)]
+    assert all(r.fill > 0.9 for r in packing.pack_fill(got, sizes).collect())
+
+
+def test_a_repeated_id_is_dealt_to_all(spark):
+    docs = spark.createDataFrame([(7, "word " * 9)] * 2000, "doc_id bigint, text string")
+    sizes = spark.createDataFrame([("s", 100)], "pack string, capacity int")
+    got = packing.pack_texts(docs, sizes, rows=100, windows=4, merge=4).collect()
+    assert len(got) == 2000 and sum(r.n_tokens for r in got) / (100 * len({r.pack_id for r in got})) > 0.9
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 2**40))
 def test_permutation(n, key):
