@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialise, spread
 from .formats import collapsed, further_copies
-from .mixing import mix, mix_shares
+from .mixing import mix, mix_checks, mix_shares
 from .names import name_clusters, variants
 from .packing import pack_checks, pack_fill, pack_texts
 from .sentences import sentence_units
@@ -60,8 +60,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_checks(materialise(p9_mix(spark, sf_dir), "mixed"), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_copies, p8_packs, p8_fill, p8_checks, p9_mix, p9_shares, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_copies, p8_packs, p8_fill, p8_checks, p9_mix, p9_shares, p9_checks, p10_found)}

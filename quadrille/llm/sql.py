@@ -16,4 +16,6 @@ ORACLES: dict[str, str] = {
     "p4_copies": P4 + "SELECT keep_id, copies FROM g",
     # what must hold of any packing: each text once for each pack kind, no pack beyond its capacity, no needless cut
     "p8_checks": "SELECT pack, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::BIGINT AS over, 0::BIGINT AS torn FROM (SELECT DISTINCT pack FROM pack_sizes WHERE capacity >= 1 AND pack IS NOT NULL)",
+    # what must hold of any mixture: no block beyond its cap, no slot beyond its size, shares within a point
+    "p9_checks": "SELECT DISTINCT source, 0::BIGINT AS over, 0::BIGINT AS full, 0::BIGINT AS off FROM mix_targets JOIN documents USING (source) WHERE target_share > 0 AND max_repeats > 0 AND text <> ''",
 }

@@ -198,10 +198,30 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
-def test_plan_respects_supply():
-    plan = mixing.plan_shards({"a": 1000, "b": 10}, {"a": (0.5, 1), "b": (0.5, 3), "c": (0.2, 2)}, 500, 64, 1)
-    assert plan.sum(axis=0).tolist()[1] <= 30 and plan.sum() == 500
-    assert mixing.plan_shards({}, {"a": (1.0, 1)}, None, 64, 1).shape[0] == 0
+def test_totals_respect_supply_and_shares():
+    got = mixing.source_totals({"a": 1000, "b": 10}, {"a": (0.5, 1), "b": (0.5, 3), "c": (0.2, 2)}, 500)
+    assert got == {"a": 470, "b": 30} and mixing.source_totals({}, {"a": (1.0, 1)}, None) == {}
+    assert mixing.source_totals({"a": 900, "b": 100}, {"a": (0.6, 1), "b": (0.3, 2)}, None) == {"a": 400, "b": 200}
+    assert sum(mixing.source_totals({"a": 7, "b": 9, "c": 2}, {"a": (0.3, 1), "b": (0.3, 1), "c": (0.4, 1)}, 11).values()) == 11
+
+
+def test_shards_agree_whoever_draws_them():
+    totals = np.array([5000, 300, 0, 1717])
+    whole = list(mixing.shard_counts(totals, 64, 9, 0, 1000))
+    assert len(whole) == -(-7017 // 64) and [int(c.sum()) for _, c, _ in whole] == [64] * 109 + [41]
+    assert np.array_equal(sum(c for _, c, _ in whole), totals) and all(np.array_equal(f, sum((c for _, c, _ in whole[:i]), np.zeros(4, int))) for i, (_, _, f) in enumerate(whole))
+    parts = [x for a in range(0, 110, 7) for x in mixing.shard_counts(totals, 64, 9, a, a + 7)]
+    assert all(a[0] == b[0] and np.array_equal(a[1], b[1]) and np.array_equal(a[2], b[2]) for a, b in zip(whole, parts, strict=True))
+    share = np.array([c[0] for _, c, _ in whole[:-1]])
+    p = 5000 / 7017
+    assert abs(share.mean() - 64 * p) < 0.5 and 0.5 < share.var() / (64 * p * (1 - p)) < 1.6  # spread of a multinomial count
+
+
+def test_halving_huge_counts():
+    counts = np.array([3 * 10**11, 10**6, 5 * 10**10])
+    left = mixing.halved(counts, 10**11, (1, 2, 3))
+    assert left.sum() == 10**11 and (left <= counts).all() and abs(left[0] / 10**11 - 3 / 3.50001) < 1e-3
+    assert mixing.halved(np.array([0, 5]), 3, (1,)).tolist() == [0, 3]
 
 
 # problem 10
