@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -106,6 +107,26 @@ def test_packed_round_trip(names, sep, quote):
     assert split_packed(text) == (names, False)
 
 
+@pytest.mark.parametrize("text", ["[" * 100_000, "[" * 50_000 + "x" + "]" * 50_000, '"' * 100_001, '"a' * 50_000, '"a" ' * 30_000, "[a;" * 40_000, '""a' * 40_000, " " * 100_000 + "x" + " " * 100_000, "a " * 60_000 + "et", '("a" ' * 25_000, "a and " * 30_000, "[a];" * 30_000])
+def test_packed_in_linear_time(text):
+    began = time.process_time()
+    split_packed(text)
+    assert time.process_time() - began < 3
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from(["[", "{", '"', "[a;", '("', "a, ", '"";', "and "]), st.sampled_from(["", "]", '"', " ", "; b"]), st.integers(1, 20_000))
+def test_packed_at_any_depth(unit, end, n):
+    began = time.process_time()
+    split_packed(unit * n + end * n)
+    assert time.process_time() - began < 3
+
+
+def test_packed_keeps_inner_signs():
+    assert split_packed('J Poe, AT&T Labs, A/B Corp & C Dee / "E"&"F"') == (["J Poe", "AT&T Labs", "A/B Corp", "C Dee", "E", "F"], False)
+    assert split_packed("[[A Bee; [C Dee]]; {E Fee}]") == (["A Bee", "C Dee", "E Fee"], False)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet='ab,;"[]{}() \t\n&|.', max_size=30))
 def test_packed_takes_anything(text):
