@@ -16,10 +16,10 @@ from functools import lru_cache
 
 # Abbreviations that do not end a sentence whatever follows, in general use, by language.
 NEVER = frozenset("""
-approx apt art asst attn ca cf ch chap chaps dr e.g ed eds eq eqs excl fig figs i.e incl max messrs min mr mrs ms mt mx no nos p pp par prof ref refs resp sect sec st tab viz vol vols vs
+al approx apt art asst attn ca cf ch chap chaps caps dr e.g ed eds eq eqs excl fig figs i.e incl max messrs min mr mrs ms mt mx no nos p pp par prof ref refs resp sect sec st tab viz vol vols vs
 abb abs abt anh anm aufl bd bde bearb bspw bzgl bzw d.h dgl dipl einschl entspr evtl exkl frl geb gem gest ggf ggü hr hrn hrsg ing inkl insb kap lfd lt mag mio mrd nördl nr östl s.o s.u sog str südl tägl tel u.a vgl westl z.b z.t zzgl zzt
 app av chap dir env ex éd fasc hab ibid mgr mlle mlles mm mme mmes ste trad tél
-aprox avda cap dra ej gral núm núms pág págs profa sr sra sras sres srs tfno ud uds vd vds
+aprox avda cap dra ej gral núm núms pág págs profa sr sra sras sres srs srta tfno ud uds vd vds
 arch avv cfr dott dott.ssa pag pagg prof.ssa sig sigg
 акад г-жа г-н гл доц им инж корп млн млрд напр просп проф рис см ст стр т.е табл тыс ул
 αρ βλ δηλ κ κεφ λ.χ π.χ πρβλ σελ σχ τηλ
@@ -32,7 +32,7 @@ TITLES = frozenset("adm amb brig capt cdr cmdr col cpl fr gen gov hon insp jr li
 DATED = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec jän mrz okt dez janv févr avr juil déc ene abr ago dic gen mag giu lug ott янв февр апр авг сент окт нояб дек".split())
 # Abbreviations that may end a sentence; what follows decides.
 MAYBE = frozenset("""
-etc usw usf u.s.w a.m p.m inc ltd co corp jr sr u.k u.s u.s.a univ dept ff d.c b.c a.d ph.d
+etc usw usf u.s.w a.m p.m inc ltd co corp jr sr u.k u.s u.s.a univ dept ff ph.d
 т.д т.п т.к г др κ.λπ κλπ κτλ π.μ μ.μ
 """.split())
 # German words that an ordinal number stands before.
