@@ -11,7 +11,12 @@ from .functions.terms import BASE_URI, DEFAULT_SOURCE
 
 @dataclass(frozen=True)
 class SummaryConfig:
-    """``model`` names an equivalence relation; ``class_signal`` None means no labels, "*" every object a label."""
+    """``model`` names an equivalence relation; ``class_signal`` None means no labels, "*" every object a label.
+
+    ``literal_subjects``: undirected edges of literals are turned round too. ``allow_orphans``: secondary summaries that
+    nothing points at any more stay in the store. ``resume``: goes on after the last version in ``state_dir``.
+    ``keep_versions``: how many of the newest versions stay (None: all).
+    """
 
     model: str = "complex-attribute_class-collection"
     class_signal: str | None = None
@@ -31,6 +36,10 @@ class SummaryConfig:
     export_dir: str | None = None
     schema_stats: bool = False
     track_changes: bool = True
+    literal_subjects: bool = False
+    allow_orphans: bool = False
+    resume: bool = False
+    keep_versions: int | None = None
 
     @staticmethod
     def read(path: str) -> SummaryConfig:

@@ -30,6 +30,24 @@ def diff(prev: DataFrame, curr: DataFrame) -> DataFrame:
     )
 
 
+def new_labels(prev: DataFrame, curr: DataFrame) -> DataFrame:
+    """v, added: labels that a vertex known before did not have then; vertices without any are left out."""
+    was = prev.select("v", F.col("labels").alias("was"))
+    added = F.array_except(F.coalesce("labels", F.array().cast(EMPTY)), F.coalesce("was", F.array().cast(EMPTY)))
+    return curr.select("v", "labels").join(was, "v").select("v", added.alias("added")).filter(F.size("added") > 0)
+
+
+def payload_update(state: DataFrame, change: DataFrame, mode: str) -> DataFrame:
+    """v, payload, entries: the payload of each vertex of ``state`` after ``change`` (both v, payload), and by how many
+    entries it changed. ``mode``: add and remove take the entries of the change for additions or removals alone, replace
+    for the whole new set. Vertices that the change does not name stay as they are."""
+    none = F.array().cast(EMPTY)
+    both = state.select("v", F.coalesce("payload", none).alias("a")).join(change.select("v", F.coalesce("payload", none).alias("b")), "v", "left").withColumn("hit", F.col("b").isNotNull()).withColumn("b", F.coalesce("b", none))
+    after = {"add": F.array_union("a", "b"), "remove": F.array_except("a", "b"), "replace": F.when(F.col("hit"), F.array_distinct("b")).otherwise(F.col("a"))}[mode]
+    changed = F.size(F.array_except("a", "after")) + F.size(F.array_except("after", "a"))
+    return both.withColumn("after", F.array_sort(after)).select("v", F.col("after").alias("payload"), changed.cast("bigint").alias("entries"))
+
+
 def stale(prev: DataFrame, curr: DataFrame) -> DataFrame:
     """Imprints whose vertex is gone."""
     return prev.join(curr, "v", "left_anti")

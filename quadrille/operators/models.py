@@ -81,7 +81,7 @@ MODELS: dict[str, Model] = {
 
 def summarize(quads: DataFrame, config: SummaryConfig) -> DataFrame:
     """One summary per subject with at least one property edge; others have none. Empty quads give no rows."""
-    out = MODELS[config.model](edges(quads, config.class_signal, config.undirected), labels(quads, config.class_signal), config.neighbor_mode)
+    out = MODELS[config.model](edges(quads, config.class_signal, config.undirected, config.literal_subjects), labels(quads, config.class_signal), config.neighbor_mode)
     return out if config.payload else out.withColumn("payload", empty_labels())
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import SummaryConfig
 from ..functions.terms import is_literal, normalise
 from ..operators import graph, incremental, models, stats, summary
-from ..runtime import materialise, salted_join, spread, work_path
+from ..runtime import hot_join, materialise, salted_join, spread, work_path
 from ..sinks import edge_ids, mapping, vertex_hashes
 from ..sources import citations, eventlog, nquads, tables
 
@@ -192,10 +192,10 @@ def complex_collection_all_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k_bisimulation(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the classes of two steps."""
+    """v and its class of two steps, named by the least vertex in it."""
     quads = all_quads(spark, d)
-    blocks = models.k_collection(graph.edges(quads, SIGNAL), graph.labels(quads, SIGNAL), 2)
-    return blocks.groupBy("block").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("classes"))
+    blocks = materialise(models.k_collection(graph.edges(quads, SIGNAL), graph.labels(quads, SIGNAL), 2), "classes")
+    return hot_join(blocks, blocks.groupBy("block").agg(F.min("v").alias("class")), ["block"]).select("v", "class")
 
 
 # summary graph
@@ -362,9 +362,7 @@ def citation_quads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Emitted lines that the parser takes, against all: equal numbers."""
-    lines = citations.paper_quads(table(spark, d, "papers")).select(citations.quad_line().alias("value"))
-    return nquads.corrupt_lines(lines)
+    return citations.paper_quads(table(spark, d, "papers")).select(citations.quad_line().alias("line"))
 
 
 def entities_per_year(spark: SparkSession, d: str) -> DataFrame:

@@ -42,7 +42,7 @@ def literal(c: Column) -> Column:
 
 def venue_key(venue: Column) -> Column:
     """A venue's id, or a hash of its name."""
-    return F.coalesce(venue["id"], F.xxhash64(venue["raw"]).cast("string"))
+    return F.coalesce(venue["id"], F.md5(venue["raw"]))
 
 
 def paper_quads(papers: DataFrame, year_column: bool = False) -> DataFrame:
@@ -81,6 +81,7 @@ def paper_quads(papers: DataFrame, year_column: bool = False) -> DataFrame:
 def quad_line() -> Column:
     """A valid N-Quads line of s, p, o, g; objects that are no literals become IRIs."""
     inner = F.regexp_replace(F.regexp_replace(F.expr("substr(o, 2, length(o) - 2)"), r"([\\\"])", r"\\$1"), "\n", r"\\n")
+    inner = F.regexp_replace(inner, "\r", r"\\r")
     o = F.when(F.col("o").startswith('"'), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.concat(F.lit("<"), "o", F.lit(">")))
     return F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" <"), "g", F.lit("> ."))
 

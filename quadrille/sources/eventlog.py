@@ -46,3 +46,9 @@ def job_intervals(events: DataFrame, app: str) -> DataFrame:
         end = F.max(F.when(here & (F.col("Event") == "SparkListenerJobEnd"), F.col("Completion Time")))
         out += [start.alias(f"{name}_start"), end.alias(f"{name}_end"), (end - start).alias(f"{name}_ms")]
     return jobs.groupBy("iteration").agg(*out)
+
+
+def write_reports(events: DataFrame, app: str, folder: str) -> None:
+    """The phases and the intervals of a run as CSV, a line an iteration, in its order."""
+    for name, rows in (("performance", phase_times(events, app)), ("performance-parallel", job_intervals(events, app))):
+        rows.orderBy("iteration").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{app}-{name}")

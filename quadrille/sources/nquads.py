@@ -30,13 +30,12 @@ def read_nquads(spark: SparkSession, paths: str | list[str], config: SummaryConf
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """value, file of the .gz files named *data* or *nt.gz* in a folder, and *data* one level below."""
-    top = spark.read.option("pathGlobFilter", "*{data,nt.gz}*").text(folder)
-    both = top
-    try:
-        both = top.unionByName(spark.read.option("pathGlobFilter", "*data*").text(f"{folder}/*/"))
-    except Exception as e:  # no sub-folder
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    below = [x.getPath().toString() for x in found if x.isDirectory()]
+    both = spark.read.option("pathGlobFilter", "*{data,nt.gz}*").text(folder)
+    if below:
+        both = both.unionByName(spark.read.option("pathGlobFilter", "*data*").text(below))
     return both.select("value", F.input_file_name().alias("file")).filter(F.col("file").endswith(".gz"))
 
 

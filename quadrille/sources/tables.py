@@ -64,9 +64,13 @@ def window_quads(orders: DataFrame, customers: DataFrame, year: int) -> DataFram
     order's summary may change through its customer alone. The segment MACHINERY is renamed each
     year, so its summaries go. The year's feed is a source of its own.
     """
-    kept = orders.filter(F.year("o_orderdate").isin(year - 1, year))
+    def day(y: int) -> Column:
+        return F.lit(f"{y:04d}-01-01").cast(orders.schema["o_orderdate"].dataType)
+
+    at = F.col("o_orderdate")
+    kept = orders.filter((at >= day(year - 1)) & (at < day(year + 1)))  # ranges reach the scan, year() would not
     base = table_quads(kept, "orders")
     feed = base.filter(F.col("p") == "priority").withColumn("g", F.lit(f"feed/{year}"))
-    active = kept.filter(F.year("o_orderdate") == year).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("active", F.lit(True))
+    active = kept.filter(at >= day(year)).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("active", F.lit(True))
     labelled = customers.join(active, "c_custkey", "left").withColumn("c_mktsegment", F.when(F.col("active"), F.concat("c_mktsegment", F.when(F.col("c_mktsegment") == "MACHINERY", f"/{year}").otherwise(""))).otherwise(F.lit("dormant")))
     return base.filter(F.col("p") != "priority").unionByName(feed).unionByName(table_quads(labelled, "customer"))

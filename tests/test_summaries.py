@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import pytest
@@ -6,23 +7,23 @@ from conftest import rows
 from quadrille.config import SummaryConfig
 from quadrille.functions.hashing import edge_id, murmur3_string, summary_id
 from quadrille.operators import graph, incremental, models, stats, summary
-from quadrille.plans.runs import run_snapshots
-from quadrille.sinks import edge_ids, mapping, read_store, vertex_hashes, yearly_graphs
+from quadrille.plans.runs import folder_statistics, run_snapshots
+from quadrille.sinks import clear_store, edge_ids, edges_by_hash, mapping, read_graph, read_store, repeated_keys, summaries_by_hash, versions, vertex_hashes, yearly_graphs
 from quadrille.sources.nquads import quads_from_lines, read_nquads
 from quadrille.streaming.snapshots import follow
 
-FIRST = """<tbl> <type> <Person> <http://zbw.eu> .
-<tbl> <name> "Till Blume" <http://zbw.eu> .
-<tbl> <worksFor> <ZBW> <http://zbw.eu> .
-<tbl> <livesIn> "Kiel" <http://zbw.eu> .
-<ZBW> <type> <Organisation> <http://zbw.eu> .
-<ZBW> <name> "Leibniz Information Centre for Economics" <http://zbw.eu> ."""
-SECOND = """<tbl> <type> <Person> <http://uni-kiel.de> .
-<tbl> <name> "Till Blume" <http://uni-kiel.de> .
-<tbl> <worksFor> <CAU> <http://uni-kiel.de> .
-<tbl> <livesIn> "Kiel" <http://uni-kiel.de> .
-<CAU> <type> <Organisation> <http://uni-kiel.de> .
-<CAU> <name> "University of Kiel" <http://uni-kiel.de> ."""
+FIRST = """<tbl> <type> <Person> <http://one.example> .
+<tbl> <name> "Nia Orr" <http://one.example> .
+<tbl> <worksFor> <ZBW> <http://one.example> .
+<tbl> <livesIn> "Quell" <http://one.example> .
+<ZBW> <type> <Organisation> <http://one.example> .
+<ZBW> <name> "Archive of Old Maps" <http://one.example> ."""
+SECOND = """<tbl> <type> <Person> <http://two.example> .
+<tbl> <name> "Nia Orr" <http://two.example> .
+<tbl> <worksFor> <CAU> <http://two.example> .
+<tbl> <livesIn> "Quell" <http://two.example> .
+<CAU> <type> <Organisation> <http://two.example> .
+<CAU> <name> "School of Tides" <http://two.example> ."""
 SNAPSHOTS = [FIRST, FIRST + "\n" + SECOND, SECOND, SECOND.replace("<CAU> <type> <Organisation>", "<CAU> <type> <University>")]
 CONFIG = SummaryConfig(class_signal="type")
 # Counters of each snapshot against the one before.
@@ -58,7 +59,7 @@ def test_models_on_the_first_snapshot(spark):
     of = lambda **k: {r.v: r for r in models.summarize(q, SummaryConfig(class_signal="type", **k)).collect()}
     complex_ = of()
     assert complex_["tbl"].labels == ["person"] and [(n.p, n.t) for n in complex_["tbl"].neighbors] == [("livesin", []), ("name", []), ("worksfor", ["organisation"])]
-    assert complex_["zbw"].payload == ["http://zbw.eu"]
+    assert complex_["zbw"].payload == ["http://one.example"]
     assert [(r.labels, r.neighbors) for r in of(model="class-collection").values()] == [(["person"], []), (["organisation"], [])] or len(of(model="class-collection")) == 2
     attribute = of(model="attribute-collection")
     assert [n.p for n in attribute["zbw"].neighbors] == ["name"]
@@ -210,3 +211,80 @@ def test_yearly_graphs(spark, tmp_path):
     q = frame(spark, [("a", "p", '"x \\" y"', "g"), ("a", "q", "b", "g")]).selectExpr("2001 as year", "*")
     yearly_graphs(q, str(tmp_path / "y"))
     assert quads_from_lines(spark.read.text(str(tmp_path / "y/year=2001"))).count() == 2
+
+
+def test_run_goes_on_after_its_end(spark, tmp_path):
+    paths = tuple(write(tmp_path, i, s) for i, s in enumerate(SNAPSHOTS))
+    state = str(tmp_path / "state")
+    run_snapshots(spark, SummaryConfig(class_signal="type", inputs=paths, state_dir=state, end_early=2))
+    got = run_snapshots(spark, SummaryConfig(class_signal="type", inputs=paths, state_dir=state, resume=True)).first().asDict()
+    assert {k: got[k] for k in GOLDEN[3]} == GOLDEN[3] and versions(spark, state) == [0, 1, 2, 3]
+    again = run_snapshots(spark, SummaryConfig(class_signal="type", inputs=paths, state_dir=state, skip_snapshots=2, end_early=2)).first().asDict()
+    assert {k: again[k] for k in GOLDEN[2]} == GOLDEN[2]
+    assert run_snapshots(spark, SummaryConfig(class_signal="type", inputs=paths, state_dir=state, resume=True)) is None
+
+
+def test_delta_run_goes_on(spark, tmp_path):
+    first = write(tmp_path, 0, SNAPSHOTS[0])
+    a, b = SNAPSHOTS[0].split("\n"), SNAPSHOTS[1].split("\n")
+    (tmp_path / "additions_d1.nq").write_text("\n".join(x for x in b if x not in a) + "\n")
+    c = {"class_signal": "type", "inputs": (first, str(tmp_path / "d1.nq")), "delta": True, "state_dir": str(tmp_path / "state"), "verify_against_batch": True}
+    run_snapshots(spark, SummaryConfig(**c, end_early=0))
+    got = run_snapshots(spark, SummaryConfig(**c, resume=True)).first().asDict()
+    assert {k: got[k] for k in GOLDEN[1]} == GOLDEN[1]
+
+
+def test_versions_and_orphans_kept(spark, tmp_path):
+    paths = tuple(write(tmp_path, i, s) for i, s in enumerate([FIRST, FIRST.replace("<ZBW> <type> <Organisation>", "<ZBW> <type> <Shop>"), FIRST]))
+    for allowed, want in ((False, 4), (True, 5)):
+        state = str(tmp_path / f"state{allowed}")
+        run_snapshots(spark, SummaryConfig(class_signal="type", inputs=paths, state_dir=state, keep_versions=2, allow_orphans=allowed))
+        assert versions(spark, state) == [1, 2]
+        v, e = read_graph(spark, state, 1)
+        assert v.count() == want and e.count() == 4 and repeated_keys(v).count() == 0
+    clear_store(spark, state)
+    assert versions(spark, state) == []
+
+
+def test_last_information_stands(spark, tmp_path):
+    paths = tuple(write(tmp_path, i, s) for i, s in enumerate([FIRST, SNAPSHOTS[3]]))
+    run_snapshots(spark, SummaryConfig(class_signal="type", inputs=paths, report_dir=str(tmp_path / "r"), schema_stats=True))
+    got = spark.read.option("header", True).csv(str(tmp_path / "r/schema"))
+    assert got.count() == got.select("sig").distinct().count() == 7
+
+
+def test_lookup_by_hash(spark):
+    s = models.summarize(quads(spark, FIRST), CONFIG)
+    every = edge_ids(s)
+    one = every.filter("property = 'worksfor'")
+    assert rows(edges_by_hash(s, one).select("property")) == [("worksfor",)]
+    found = summaries_by_hash(s, one).collect()
+    assert [(r.labels, r.instances) for r in found] == [(["person"], 1)] and summaries_by_hash(s, one.limit(0)).count() == 0
+
+
+def test_new_labels_and_payload(spark):
+    a = spark.createDataFrame([("x", ["p"]), ("y", ["p"]), ("z", None)], "v string, labels array<string>")
+    b = spark.createDataFrame([("x", ["p", "q"]), ("y", []), ("z", ["r"]), ("n", ["p"])], "v string, labels array<string>")
+    assert rows(incremental.new_labels(a, b)) == [("x", ["q"]), ("z", ["r"])]
+    s = spark.createDataFrame([("x", ["a", "b"]), ("y", None), ("z", ["a"])], "v string, payload array<string>")
+    d = spark.createDataFrame([("x", ["b", "c"]), ("y", ["a"])], "v string, payload array<string>")
+    assert rows(incremental.payload_update(s, d, "add")) == [("x", ["a", "b", "c"], 1), ("y", ["a"], 1), ("z", ["a"], 0)]
+    assert rows(incremental.payload_update(s, d, "remove")) == [("x", ["a"], 1), ("y", [], 0), ("z", ["a"], 0)]
+    assert rows(incremental.payload_update(s, d, "replace")) == [("x", ["b", "c"], 2), ("y", ["a"], 1), ("z", ["a"], 0)]
+
+
+def test_literal_subjects(spark):
+    q = frame(spark, [("a", "p", '"t"', "g")])
+    of = lambda x: {r.v for r in models.summarize(q, SummaryConfig(undirected=True, literal_subjects=x)).collect()}
+    assert of(False) == {"a"} and of(True) == {"a", '"t"'}
+
+
+def test_folder_statistics(spark, tmp_path):
+    folder = tmp_path / "crawl"
+    (folder / "week1").mkdir(parents=True)
+    for name, text in (("a-data.nq.gz", FIRST), ("week1/data.nq.gz", SNAPSHOTS[1]), ("other.gz", FIRST)):
+        with gzip.open(folder / name, "wt") as f:
+            f.write(text + "\n")
+    got = {r.file.rsplit("/", 1)[1]: r for r in folder_statistics(spark, str(folder), CONFIG, str(tmp_path / "r")).collect()}
+    assert (got["a-data.nq.gz"].num_edges, got["data.nq.gz"].num_edges, len(got)) == (4, 8, 2)
+    assert spark.read.option("header", True).csv(str(tmp_path / "r/degree")).count() == 2
