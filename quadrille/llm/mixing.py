@@ -187,7 +187,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_blocks: int | None = Non
     step = max(1, min(RANGE, shards // spark.sparkContext.defaultParallelism))
     ranges = -(-shards // step)
     drawn = spark.range(0, ranges, 1, ranges).mapInArrow(_slots(names, [totals[n] for n in names], [have[n] for n in names], shard, seed, step), "shard int, pos bigint, source string, use int, block bigint")
-    return drawn.join(pieces, ["source", "block"]).select("shard", "pos", "source", "use", "block", "doc_id", "start_token", "n_tokens")
+    # the size of what a task makes is not known to the planner, so a broadcast of it is ruled out
+    return drawn.hint("merge").join(pieces, ["source", "block"]).select("shard", "pos", "source", "use", "block", "doc_id", "start_token", "n_tokens")
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 import xxhash
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialise, salted_join
-from .naming import Person, deletions, given_forms, initials_fit, org_tokens, person_parts, phonetic, same_org, same_person, same_surname
+from ..runtime import hot_join, materialise, salted_join
+from .naming import Person, acronyms, deletions, given_forms, initial_runs, initials_fit, org_tokens, person_parts, phonetic, same_org, same_person, same_surname
 
 LONGS = T.ArrayType(T.LongType())
+#: A block of more names is divided by a second key; a word in at least this share of the names, and in so many, is common
+#: (so at most a few times 1/COMMON words are).
+HOT, COMMON, COMMON_LEAST = 200, 1 / 5000, 20
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -22,9 +26,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     Every round takes the least label among a node and its neighbours, then jumps once to that
     label's own; rounds end when nothing changes. Each round is written to the shared folder.
     """
-    if edges.isEmpty():
+    both = materialise(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
+    if both.isEmpty():
         return nodes.select("node", F.col("node").alias("label"))
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     for _ in range(rounds):
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
@@ -39,13 +43,25 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _pairs(keyed: DataFrame) -> DataFrame:
-    """Candidate pairs a < b of distinct names that share a block key."""
+def _pairs(keyed: DataFrame, name: str) -> DataFrame:
+    """Candidate pairs a < b of distinct names that share a block key. keyed: node, key."""
+    keyed = materialise(keyed, name)
     left = keyed.select("key", F.col("node").alias("a"))
     right = keyed.select("key", F.col("node").alias("b"))
     return left.join(right, "key").filter("a < b").select("a", "b").distinct()
 
 
+def _divided(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """keyed, the names of blocks beyond HOT put into smaller blocks of a second key. Two names that are one person
+    have given names that are equal, short for the same, or a slip apart, and so share a second key."""
+    keyed = materialise(keyed, "blocks")
+    hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot-blocks")
+    if hot.isEmpty():
+        return keyed
+    again = hot_join(keyed, hot, ["key"]).join(nodes.select("node", "name"), "node").select("node", F.explode(_second_keys("key", "name")).alias("key"))
+    return hot_join(keyed, hot, ["key"], "left_anti").select("node", "key").unionByName(again)
+
+
 @F.pandas_udf(T.StringType())
 def _org_node(orgs: pd.Series) -> pd.Series:
     return orgs.map(lambda o: " ".join(org_tokens(o)))
@@ -58,20 +74,33 @@ def _hash(*parts: str) -> int:
 
 @F.pandas_udf(LONGS)
 def _org_keys(nodes: pd.Series) -> pd.Series:
-    """Block keys: phonetic codes of the sorted words, and for each word its one-letter deletions beside the others."""
+    """Block keys: for each word its phonetic code beside the first letters of the others (so that those may be cut
+    short), and its one-letter deletions beside the others."""
 
     def keys(node: str) -> list[int]:
         words = node.split()
-        out = {_hash("~", *(phonetic(w) for w in words))}
+        out = set()
         for i, w in enumerate(words):
+            others = words[:i] + words[i + 1 :]
             if len(w) >= 5:
-                rest = " ".join(words[:i] + words[i + 1 :])
+                out.add(_hash("~", phonetic(w), "".join(sorted(x[0] for x in others))))
+                rest = " ".join(others)
                 out |= {_hash(rest, d) for d in deletions(w)}
         return sorted(out)
 
     return nodes.map(keys)
 
 
+@F.pandas_udf(LONGS)
+def _acronym_keys(orgs: pd.Series) -> pd.Series:
+    return orgs.map(lambda o: sorted({_hash("acronym", *x) for x in acronyms(o)}))
+
+
+@F.pandas_udf(LONGS)
+def _run_keys(orgs: pd.Series) -> pd.Series:
+    return orgs.map(lambda o: sorted({_hash("acronym", *x) for x in initial_runs(o)}))
+
+
 @F.pandas_udf(T.BooleanType())
 def _same_org(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_org(x.split(), y.split()) for x, y in zip(a, b)], dtype=bool)
@@ -90,12 +119,21 @@ def _named_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, column: st
 
 
 def org_clusters(orgs: DataFrame) -> DataFrame:
-    """org, cluster of each distinct spelling. Null and wordless spellings are left out."""
+    """org, cluster of each distinct spelling. Null and wordless spellings are left out.
+
+    A spelling with an acronym joins the one class in which the acronym is spelled out beside the same words; it stays
+    apart where it fits several.
+    """
     named = materialise(orgs.select("org").filter("org is not null").distinct().select("org", _org_node("org").alias("words")).filter("words != ''"), "org-names")
     nodes = _numbered(named.select("words").distinct(), "org-nodes")
     keyed = nodes.select("node", F.explode(_org_keys("words")).alias("key"))
-    edges = _named_pairs(_pairs(keyed), nodes, nodes, "words").filter(_same_org("x", "y"))
-    return named.join(nodes.join(components(nodes, edges), "node"), "words").select("org", F.col("label").alias("cluster"))
+    edges = _named_pairs(_pairs(keyed, "org-blocks"), nodes, nodes, "words").filter(_same_org("x", "y"))
+    placed = materialise(named.join(nodes.join(components(nodes, edges), "node"), "words").select("org", "label"), "org-classes")
+    short = placed.select("label", F.explode(_acronym_keys("org")).alias("key")).distinct()
+    spelled = placed.select(F.col("label").alias("b"), F.explode(_run_keys("org")).alias("key")).distinct()
+    fits = short.join(spelled, "key").filter("label <> b").groupBy(F.col("label").alias("a"), "key").agg(F.min("b").alias("b"), F.count_distinct("b").alias("n"))
+    joined = components(placed.select(F.col("label").alias("node")).distinct(), fits.filter("n = 1").select("a", "b"))
+    return placed.join(joined.select(F.col("node").alias("label"), F.col("label").alias("cluster")), "label").select("org", "cluster")
 
 
 def _dump(p: Person) -> str:
@@ -127,16 +165,39 @@ def _full_keys(orgs: pd.Series, nodes: pd.Series) -> pd.Series:
         out = {_hash(org, "~", *sorted(phonetic(w) for w in p.full))}
         for surname, given in p.readings():
             first = "".join(given)
-            out |= {_hash(org, d, g) for d in deletions(surname) for g in {g[:1] for g in given_forms(first)}}
+            initials = {g[:1] for g in given_forms(first)} | {g[:1] for g in given_forms(given[0])} if given else {""}
+            out |= {_hash(org, d, g) for d in deletions(surname) for g in initials}
             out |= {_hash(org, surname, "", d) for d in deletions(first)}
         return sorted(out)
 
     return pd.Series([keys(str(o), n) for o, n in zip(orgs, nodes)])
 
 
-@F.pandas_udf(T.BooleanType())
-def _same_person(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([same_person(_load(x), _load(y)) for x, y in zip(a, b)], dtype=bool)
+@F.pandas_udf(LONGS)
+def _second_keys(blocks: pd.Series, nodes: pd.Series) -> pd.Series:
+    """Within a block: beginnings, deletions and full forms of the given names, joined and of the first alone."""
+
+    def keys(block: int, node: str) -> list[int]:
+        firsts = {x for _, given in _load(node).readings() if given for x in ("".join(given), given[0])}
+        return sorted({_hash(str(block), y) for x in firsts for g in given_forms(x) for y in deletions(g) | {g[:2]}})
+
+    return pd.Series([keys(b, n) for b, n in zip(blocks, nodes)])
+
+
+def _same_person(common: frozenset[str]):
+    @F.pandas_udf(T.BooleanType())
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([same_person(_load(x), _load(y), common) for x, y in zip(a, b)], dtype=bool)
+
+    return same
+
+
+def _common_words(nodes: DataFrame) -> frozenset[str]:
+    """Words of two letters or more in at least COMMON of all names, and in COMMON_LEAST: such are no typing errors of
+    each other. At most a few times 1/COMMON words, whatever the table's size."""
+    words = F.explode(F.from_json(F.get_json_object("name", "$[0]"), "array<string>")).alias("w")
+    least = max(COMMON_LEAST, math.ceil(COMMON * nodes.count()))
+    return frozenset(r[0] for r in nodes.select(words).groupBy("w").count().filter(F.col("count") >= least).select("w").collect())
 
 
 def _short_readings(p: Person) -> set[tuple[str, str]]:
@@ -213,7 +274,7 @@ def person_clusters(records: DataFrame, orgs: DataFrame) -> DataFrame:
     nodes = _numbered(named.select("org", "name").distinct().withColumn("n", _full_words("name")), "person-nodes")
     full, short = nodes.filter("n >= 2"), nodes.filter("n = 1")
     keyed = full.select("node", F.explode(_full_keys("org", "name")).alias("key"))
-    edges = _named_pairs(_pairs(keyed), full, full, "name").filter(_same_person("x", "y"))
+    edges = _named_pairs(_pairs(_divided(keyed, full), "full-blocks"), full, full, "name").filter(_same_person(_common_words(full))("x", "y"))
     labels = materialise(components(full, edges), "full-people")
     joined = materialise(_attach(short, full.join(labels, "node")), "short-people")
     alone = short.join(joined, "node", "left_anti")
@@ -222,7 +283,7 @@ def person_clusters(records: DataFrame, orgs: DataFrame) -> DataFrame:
     counted = materialise(alone.withColumn("m", F.length(F.get_json_object("name", "$[1]"))), "alone")
     several = counted.filter("m >= 2")
     near_keys = several.select("node", F.explode(_surname_keys("org", "name")).alias("key"))
-    twins = _named_pairs(_pairs(near_keys), several, several, "name").filter(_near_short("x", "y"))
+    twins = _named_pairs(_pairs(near_keys, "initial-blocks"), several, several, "name").filter(_near_short("x", "y"))
     joined_several = components(several, twins)
     joined_short = materialise(_attach(counted.filter("m <= 1"), several.join(joined_several, "node")).unionByName(joined_several), "initials")
     rest = alone.join(joined_short, "node", "left_anti").select("node", F.col("node").alias("label"))

@@ -7,86 +7,56 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
-# Words of organisation names, each with its abbreviations and translations.
+# Words of organisation names with their usual forms and translations. Other abbreviations are found by
+# a rule (``abbreviates``), acronyms by another (``initial_runs``).
 WORDS = {
-    "university": "univ uni u universitat universitaet universite universidad universita universities university",
-    "tech": "tech techn technical technische technology technol technological technique technologies",
-    "institute": "inst institute institut instituto istituto institutes",
-    "academy": "acad academy akademie academie academia",
-    "science": "sci science sciences wissenschaften scienze",
-    "national": "nat natl national natural nationale",
-    "history": "hist history",
-    "museum": "mus museum musee",
-    "library": "lib libr library bibliothek bibliotheque biblioteca",
-    "laboratory": "lab labs laboratory laboratories labor laboratoire",
-    "computing": "comput computing",
-    "medicine": "med medical medicine medizin",
-    "school": "sch school ecole schule",
-    "college": "coll college",
-    "economics": "econ economics",
-    "conservatory": "conserv conservatory conservatoire konservatorium",
-    "observatory": "obs observatory observatoire sternwarte observatorio",
-    "polytechnic": "poly polytech polytechnic politecnico polytechnique polytechnikum",
-    "botanic": "bot botanical botanic botanique botanischer",
-    "garden": "garden gardens jardin garten",
-    "center": "ctr cent center centre zentrum centro",
-    "linguistics": "ling linguistics",
-    "research": "res research",
-    "informatics": "inform informatics informatik",
-    "statistics": "stat stats statistics statistical",
-    "office": "off office",
-    "applied": "appl applied",
-    "record": "rec records record",
-    "foundation": "found fdn foundation",
-    "hospital": "hosp hospital hopital krankenhaus",
-    "children": "children childrens child",
-    "physics": "phys physics",
-    "archive": "arch archive archives archiv",
-    "naval": "nav naval",
-    "mathematics": "math maths mathematics",
-    "engineering": "eng engr engineering",
-    "department": "dept department departement",
-    "international": "int intl international",
-    "association": "assoc association",
-    "society": "soc society",
-    "chemistry": "chem chemistry",
-    "biology": "biol biology",
-    "education": "educ education",
-    "telecom": "telecom telecommunications telecommunication",
-}
-# One word or acronym that stands for several words.
-PHRASES = {
-    "hochschule": "university applied science",
-    "uas": "university applied science",
-    "tu": "tech university",
-    "it": "institute tech",
-    "frf": "free record foundation",
-    "iws": "institute web science",
-    "rci": "research center informatics",
-    "datenarchiv": "data archive",
-    "nationalbibliothek": "national library",
+    "academy": "acad academy akademie academie academia accademia", "administration": "admin administration", "agency": "agency agcy agentur agence agencia agenzia", "agriculture": "agric agriculture agricultural", "applied": "appl applied angewandte",
+    "archive": "arch archive archives archiv archivio archivo", "art": "art arts", "association": "assoc assn association", "biology": "biol biology biological", "board": "board", "botanic": "bot botanical botanic botanique botanischer", "bureau": "bureau", "business": "business",
+    "center": "ctr cent center centre zentrum centro centrum", "chemistry": "chem chemistry chemical chimie chemie", "children": "children childrens child", "city": "city", "clinic": "clinic klinik clinique clinica", "college": "coll college", "commission": "commission kommission",
+    "committee": "committee cttee", "communication": "commun communication communications", "company": "co company", "computing": "comput computing", "conservatory": "conserv conservatory conservatoire konservatorium conservatorio", "corporation": "corp corporation", "council": "council rat conseil consejo",
+    "data": "data daten donnees datos", "department": "dept department departement", "development": "dev development", "economics": "econ economics", "education": "educ education", "electrical": "elec electrical", "energy": "energy energie energia", "engineering": "eng engr engineering",
+    "environment": "environ environment environmental", "federal": "fed federal bundes", "foundation": "found fdn foundation stiftung fondation fundacion fondazione", "free": "free", "garden": "garden gardens jardin garten", "general": "gen general", "government": "govt government", "graph": "graph",
+    "health": "health", "history": "hist history", "hospital": "hosp hospital hopital krankenhaus ospedale", "industry": "ind industry industries industrial", "informatics": "inform informatics informatik informatique", "information": "info information", "institute": "inst institute institut instituto istituto institutes",
+    "international": "int intl international", "laboratory": "lab labs laboratory laboratories labor laboratoire laboratorio", "library": "lib libr library bibliothek bibliotheque biblioteca", "linguistics": "ling linguistics", "management": "mgmt management", "materials": "mater materials", "mathematics": "math maths mathematics mathematik mathematiques",
+    "mechanical": "mech mechanical", "medicine": "med medical medicine medizin", "ministry": "ministry ministerium ministere ministerio ministero", "museum": "mus museum musee museo", "music": "music musik musique", "national": "nat natl national natural nationale", "naval": "nav naval", "nuclear": "nucl nuclear",
+    "observatory": "obs observatory observatoire sternwarte observatorio", "office": "off office", "philosophy": "philos philosophy", "physics": "phys physics physik physique fisica", "policy": "policy", "polytechnic": "poly polytech polytechnic politecnico polytechnique polytechnikum", "psychology": "psych psychology",
+    "record": "rec records record", "research": "res research recherche forschung", "royal": "royal", "school": "sch school ecole schule escuela scuola", "science": "sci science sciences wissenschaften scienze", "service": "svc service services", "society": "soc society gesellschaft societe sociedad",
+    "state": "state staats", "statistics": "stat stats statistics statistical", "system": "sys system systems", "tech": "tech techn technical technische technology technol technological technique technologies", "telecom": "telecom telecommunications telecommunication",
+    "university": "univ uni u universitat universitaet universite universidad universita universidade universities university", "veterinary": "vet veterinary", "web": "web",
 }
+# A word that stands for several in another language.
+PHRASES = {"hochschule": "university applied science", "fachhochschule": "university applied science"}
 STOP = frozenset("of for f fur the and de di du des der da della la le et und in at".split())
 DEPARTMENT = re.compile(r"\s*(?:dept|department|faculty|fac|chair|division|div|section|group|lehrstuhl|institut fur|school of engineering)\b", re.I)
 CANON = {w: k for k, words in WORDS.items() for w in words.split()}
 
-# Given names and the short forms people use for them.
+# Given names and short forms in general use that no rule of shortening gives, in several languages.
 NICKNAMES = {
-    "adrian": "ade", "alexander": "alex sasha sandy xander", "alexandra": "alex sasha sandra lexi sandy", "amina": "mina", "andreas": "andi andy andre", "andrew": "andy drew",
-    "annalena": "anna lena", "anthony": "tony", "beatriz": "bea trixie betty", "benedikt": "ben bene benny", "benjamin": "ben benny", "carolina": "caro lina carol carrie", "charles": "charlie chuck",
-    "chiara": "kiki", "christopher": "chris kit topher", "daniel": "dan danny", "daniela": "dani dana ela", "david": "dave", "dmitri": "dima mitya", "dorothea": "dora doro thea dorothy dot dottie",
-    "edward": "ed eddie ted teddy ned", "elisabeth": "liz lisa beth betty eliza elsa sissi lizzie bess ella", "elizabeth": "liz lisa beth betty eliza lizzie", "emeka": "emi", "fatima": "fati tima", "federico": "fede rico fred", "francois": "franz fran frank",
-    "frederick": "fred freddy", "gabriela": "gabi gaby ela bri", "georgios": "george yorgos giorgos", "hannah": "hanni nana", "hiroshi": "hiro", "ingrid": "inga inge", "isabel": "isa bella izzy belle", "jacek": "jack",
-    "james": "jim jimmy jamie", "jeanluc": "jean luc", "john": "jack johnny", "jorn": "joe", "joseph": "joe joey", "katarina": "kat kate kathy katja katya rina kati", "kenji": "ken", "lars": "lasse", "leonardo": "leo nardo leon len", "ludmila": "luda mila lyuda",
-    "margaret": "maggie meg peggy marge greta margie daisy", "mariajose": "maria majo marijo", "matthias": "matt matze matti hias", "matthew": "matt", "michael": "mike mick mickey micha mikey", "nadia": "nadja nadya", "nicholas": "nick nicky", "nikolaos": "nikos nick niko klaus", "olga": "olya",
-    "oskar": "ossi", "patricia": "pat patty trish tricia patti", "peter": "pete", "petr": "pete petya", "rafael": "rafa rafi raf", "richard": "rick dick richie", "robert": "bob bobby rob robbie bert", "rosalind": "rosa rose roz lindy ros", "samuel": "sam sammy",
-    "sofia": "sofi sophie", "theodor": "theo ted teddy", "thomas": "tom tommy", "tomasz": "tom tomek tommy", "ursula": "uschi ulla ursel", "valentina": "val tina vale", "viktor": "vic vik vitya", "william": "will bill billy willy liam", "xavier": "xavi javi", "yusuf": "joe yus",
+    "abigail": "gail", "albert": "bert", "alexander": "sasha sandy xander sander", "alexandra": "sasha sandra sandy", "alfred": "fred", "amina": "mina", "andrew": "drew", "ann": "nancy nan", "anna": "anya ania", "anthony": "tony", "antonio": "toni tonio nino", "barbara": "babs", "beatrice": "trixie",
+    "beatriz": "trixie betty", "bernard": "barney", "caroline": "carrie lina", "carolina": "carrie lina", "catherine": "kate kathy kitty", "charles": "chuck", "christina": "tina kris", "christine": "tina kris", "christopher": "kit topher kris", "daniela": "ela", "deborah": "debbie", "dmitri": "dima mitya",
+    "dorothea": "thea dot dottie", "dorothy": "dot dottie dolly", "edward": "ted teddy ned", "eleanor": "nell nora", "elisabeth": "liz lizzie lisa beth bess betty betsy libby elsa sissi", "elizabeth": "liz lizzie lisa beth bess betty betsy libby elsa", "emmanuel": "manny", "eugene": "gene", "evgeny": "zhenya",
+    "fatima": "tima", "federico": "rico", "fernando": "nando", "frances": "fanny", "francis": "frank", "francisco": "paco pancho", "francois": "frank", "frederick": "rick fritz", "friedrich": "fritz", "gabriela": "ela", "georgios": "george yorgos giorgos", "gerald": "jerry", "gertrude": "trudy", "giovanni": "gianni",
+    "giuseppe": "beppe pino", "guillermo": "memo", "harold": "harry hal", "helen": "nell", "helena": "lena", "henry": "harry hank hal", "hubert": "bert", "ignacio": "nacho", "isabel": "bella izzy belle", "ivan": "vanya", "jacob": "jake", "james": "jim jimmy jamie", "johannes": "hans hannes", "john": "jack", "jose": "pepe",
+    "josef": "sepp", "joseph": "joe jo", "katarina": "kate kathy katja katya rina", "katarzyna": "kasia", "katherine": "kate katie kitty", "lars": "lasse", "lawrence": "larry", "leonardo": "nardo leon", "ludmila": "mila lyuda", "magdalena": "lena", "malgorzata": "gosia", "manuel": "manolo", "margaret": "peggy meg maggie daisy greta",
+    "maria": "masha", "mary": "molly polly", "matilda": "tilda", "matthias": "hias matze", "michael": "mike mick mickey", "mikhail": "misha", "natalia": "natasha", "nicholas": "nick nicky", "nikolai": "kolya", "nikolaos": "nick niko nikos klaus", "nikolaus": "klaus", "olga": "olya", "oscar": "ossi", "oskar": "ossi", "patricia": "tricia trish",
+    "pavel": "pasha", "petr": "petya", "rebecca": "becky becca", "richard": "dick rick", "robert": "bob bobby bert", "rosalind": "roz linda", "rudolf": "rolf", "sarah": "sally", "sebastian": "bastian", "sergei": "seryozha", "sofia": "sonya sophie", "stephen": "steve", "susan": "sue", "svetlana": "lana", "tatiana": "tanya",
+    "theodor": "ted teddy", "theodore": "ted teddy", "thomas": "tom tommy", "ulrich": "uli", "ursula": "uschi ulla", "valentina": "tina", "viktor": "vic vitya", "victoria": "tori", "vladimir": "volodya vova", "william": "bill billy liam", "xavier": "javi", "yusuf": "joe",
 }
 FULL_OF: dict[str, tuple[str, ...]] = {}
 for _full, _short in NICKNAMES.items():
     for _s in _short.split():
         FULL_OF[_s] = (*FULL_OF.get(_s, ()), _full)
-KNOWN = frozenset([*NICKNAMES, *FULL_OF, *"bjorn jorn mei qing zoe anna maria jose jean luc lena".split()])
+# Further common given names in full, which are no short form of another.
+GIVEN = frozenset("""
+adam adrian alice amelie anders andrea andreas angela anja anne antoine astrid axel benedikt benjamin birgit bjorn boris bruno camille carla carlos carmen charlotte chiara clara claudia daniel david diana diego dieter elena elias emil emilia emma eric erik eva felix florian gabriel georg giulia gustav
+hanna hannah hassan heinrich helmut hiroshi hugo ibrahim ida ingrid irene isabella jan jana jean jens jonas jorge jorn juan julia julian jurgen karin karl kenji klara laura lena louis louise luc lucas lucia luis lukas marc marco marie mark marta martin martina matthew max mei mia miguel mohamed monika nadia nina nora
+omar otto pablo paul paula pauline peter philip pierre qing rachel rafael ralf ramon ramona roland roman ruth sabine samuel sara simon stefan stefanie steven susanne sven teresa theresa tobias tomasz valentin vera veronica victor walter wei werner wilhelm wolfgang yuki zoe
+""".split())
+FULL = GIVEN | frozenset(NICKNAMES)
+KNOWN = FULL | frozenset(FULL_OF)
+# Endings that make a short form of a name's beginning, and those that make another name of it.
+PET_ENDINGS = ("ie", "ey", "y", "i", "e", "o", "a", "ek", "ik", "ka", "ko", "chen")
+OTHER_ENDINGS = frozenset("a e o i s us ie ia ina ine ette ella etta elle".split())
 TITLES = frozenset("dr prof professor mr mrs ms miss sir phd md jr sr ii iii iv dipl ing doc dres herr frau mme".split())
 PARTICLES = frozenset("van von der den de la del di da le ter ten zu zur al bin ibn dos das do".split())
 LETTERS = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "ı": "i", "đ": "d", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d"})
@@ -164,43 +134,110 @@ def phonetic(word: str) -> str:
 @lru_cache(maxsize=1)
 def _vocabulary() -> dict[str, set[str]]:
     index: dict[str, set[str]] = {}
-    for w in [*CANON, *PHRASES, *CANON.values(), "free", "graph", "data", "web"]:
+    for w in [*CANON, *PHRASES]:
         if len(w) >= 4:
             for d in deletions(w):
                 index.setdefault(d, set()).add(w)
     return index
 
 
-def org_tokens(org: str) -> list[str]:
-    """Sorted canonical words of an organisation's name. A department before it is left out; an
-    unknown word one edit from a known one of five letters or more counts as that."""
+def _words(org: str) -> list[str]:
+    """Folded words of an organisation's name in order, without a department before it and without stop words."""
     parts = org.split(",")
     if len(parts) > 1 and DEPARTMENT.match(fold(parts[0])):
         org = ",".join(parts[1:])
     text = re.sub(r"['’`]", "", fold(org))
     text = re.sub(r"\b(?:\w\.){2,}", lambda m: m[0].replace(".", ""), text)
-    out: list[str] = []
-    for w in re.findall(r"\w+", text):
-        if w in STOP:
-            continue
-        if w not in CANON and w not in PHRASES and len(w) >= 5:
-            close = sorted({v for d in deletions(w) for v in _vocabulary().get(d, ()) if near(w, v)})
-            w = close[0] if close else w
-        out += PHRASES[w].split() if w in PHRASES else [CANON.get(w, w)]
-    return sorted(out)
+    return [w for w in re.findall(r"\w+", text) if w not in STOP]
+
+
+def _compound(w: str) -> list[str]:
+    """The two known words that a long one is put together from, or nothing."""
+    for i in range(4, len(w) - 3):
+        first, second = w[:i], w[i:]
+        if second in CANON and (first in CANON or first[:-1] in CANON and first[-1] == "s"):
+            return [CANON.get(first) or CANON[first[:-1]], CANON[second]]
+    return []
+
+
+def _canonical(w: str) -> list[str]:
+    if w in PHRASES:
+        return PHRASES[w].split()
+    if w in CANON:
+        return [CANON[w]]
+    if len(w) >= 9 and (both := _compound(w)):
+        return both
+    if len(w) >= 5:
+        close = sorted({v for d in deletions(w) for v in _vocabulary().get(d, ()) if near(w, v)})
+        if close:
+            return PHRASES[close[0]].split() if close[0] in PHRASES else [CANON[close[0]]]
+    return [w]
+
+
+def org_tokens(org: str) -> list[str]:
+    """Sorted canonical words of an organisation's name. A department before it is left out; an
+    unknown word one edit from a known one of five letters or more counts as that."""
+    return sorted(x for w in _words(org) for x in _canonical(w))
+
+
+def initial_runs(org: str) -> set[tuple[str, str]]:
+    """(initials, other words) of each run of two to six words: what an acronym in place of the run would leave."""
+    words = _words(org)
+    parts = [_canonical(w) for w in words]
+    out = set()
+    for i in range(len(words)):
+        for j in range(i + 2, min(len(words), i + 6) + 1):
+            rest = " ".join(sorted(x for p in parts[:i] + parts[j:] for x in p))
+            out |= {("".join(w[0] for w in words[i:j]), rest), ("".join(x[0] for p in parts[i:j] for x in p), rest)}
+    return out
+
+
+def acronyms(org: str) -> set[tuple[str, str]]:
+    """(word, other words) of each word of two to six letters that is no known one: it may be an acronym."""
+    words = _words(org)
+    parts = [_canonical(w) for w in words]
+    return {(w, " ".join(sorted(x for p in parts[:i] + parts[i + 1 :] for x in p))) for i, w in enumerate(words) if 2 <= len(w) <= 6 and w.isalpha() and w not in CANON}
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Whether a word of two letters or more is cut from another: its beginning (three letters or more), or its first and last
+    letter with some between, in order (four letters or more)."""
+    if len(short) >= len(word) or len(short) < 3 or short[0] != word[0]:
+        return False
+    rest = iter(word)
+    return word.startswith(short) or len(short) >= 4 and short[-1] == word[-1] and 2 * len(short) <= len(word) + 3 and all(c in rest for c in short)
+
+
+#: Least Jaro-Winkler score of two words that are one slip apart (edit or swap), and of others.
+SLIP, FAR = 0.85, 0.94
+
+
+def same_word(a: str, b: str, slip: float = SLIP) -> bool:
+    """Whether two spellings are of one word: equal, or a Jaro-Winkler score of at least ``slip`` where they are one slip apart,
+    of FAR where not."""
+    return a == b or jaro_winkler(a, b) >= (slip if near(a, b) else FAR)
 
 
 def same_org(a: list[str], b: list[str]) -> bool:
-    """Equal words, but for one of five letters or more that may be a typing error apart (Jaro-Winkler
-    0.88 or more), which no list of known words explains."""
+    """Equal words, but for such as are cut short, and one of five letters or more that may be mistyped and that no
+    list of known words explains (Jaro-Winkler, 0.88 where one slip apart)."""
     x, y = list(a), list(b)
     for w in a:
         if w in y:
             x.remove(w)
             y.remove(w)
-    if not x and not y:
-        return True
-    return len(x) == len(y) == 1 and min(len(x[0]), len(y[0])) >= 5 and x[0] not in WORDS and y[0] not in WORDS and near(x[0], y[0]) and jaro_winkler(x[0], y[0]) >= 0.88
+    if len(x) != len(y):
+        return False
+    slips = 0
+    for w in x:
+        cut = next((v for v in y if abbreviates(w, v) or abbreviates(v, w)), None) if len(a) > 1 else None
+        if cut is None:
+            cut = next((v for v in y if min(len(w), len(v)) >= 5 and w not in WORDS and v not in WORDS and same_word(w, v, 0.88)), None)
+            slips += 1
+        if cut is None or slips > 1:
+            return False
+        y.remove(cut)
+    return True
 
 
 def person_parts(name: str) -> Person:
@@ -269,7 +306,8 @@ class Person(NamedTuple):
             return [(self.surname, tuple(rest))]
         ends = sorted({0, len(self.full) - 1}) if self.full else []
         orders = [(self.full[i], self.full[:i] + self.full[i + 1 :]) for i in ends]
-        return [(s, g) for s, g in orders if "".join(g) in KNOWN] or orders
+        every = [(s, g) for s, g in orders if g and all(x in KNOWN for x in g) or "".join(g) in KNOWN]
+        return every or [(s, g) for s, g in orders if any(x in KNOWN for x in g)] or orders
 
     def sequences(self, given: tuple[str, ...]) -> set[str]:
         """The initials in order: those of the given words (or of the first alone), then the middle ones."""
@@ -282,26 +320,56 @@ def given_forms(word: str) -> set[str]:
     return {word, *FULL_OF.get(word, ())}
 
 
-def same_given(a: str, b: str) -> int:
-    """2 equal or a nickname of one name, 1 a typing error apart where not both are known names, 0 neither."""
-    if a == b or given_forms(a) & given_forms(b):
+def shortens(short: str, full: str) -> bool:
+    """Whether a given name is short for another by rule: its beginning, or that with a pet ending (Dan, Danny: Daniel).
+
+    Names that are full ones themselves are not (Daniel: Daniela), and an ending that makes another name neither.
+    """
+    if short in FULL or len(short) < 3 or short[0] != full[0]:
+        return False
+    if full.startswith(short):
+        return full[len(short) :] not in OTHER_ENDINGS
+    for end in PET_ENDINGS:
+        if short.endswith(end):
+            stem = short[: -len(end)]
+            single = stem[:-1] if len(stem) > 2 and stem[-1] == stem[-2] else stem
+            if len(single) >= 3 - (single != stem) and full.startswith(single) and len(full) >= len(single) + 2:
+                return True
+    return False
+
+
+def same_given(a: str, b: str, common: frozenset[str] = frozenset()) -> int:
+    """2 equal or one short for the other, 1 a typing error apart where not both are known or ``common`` names, 0 neither."""
+    if a == b or given_forms(a) & given_forms(b) or shortens(a, b) or shortens(b, a):
         return 2
-    if a in KNOWN and b in KNOWN:
+    if (a in KNOWN or a in common) and (b in KNOWN or b in common):
         return 0
-    return int(min(len(a), len(b)) >= 3 and near(a, b) and jaro_winkler(a, b) >= 0.8)
+    return int(min(len(a), len(b)) >= 3 and same_word(a, b, 0.8))
 
 
-def same_surname(a: str, b: str) -> bool:
-    """Equal, or a typing error apart where not both are known given names."""
-    return a == b or min(len(a), len(b)) >= 4 and not (a in KNOWN and b in KNOWN) and near(a, b) and jaro_winkler(a, b) >= 0.85
+def same_surname(a: str, b: str, common: frozenset[str] = frozenset()) -> bool:
+    """Equal, or a typing error apart where not both are known given names or ``common`` words."""
+    return a == b or min(len(a), len(b)) >= 4 and not ((a in KNOWN or a in common) and (b in KNOWN or b in common)) and same_word(a, b)
 
 
-def same_person(a: Person, b: Person) -> bool:
-    """Two full names of one person: in some reading the surnames and the given names agree, each but for one
-    typing error, and no middle initials contradict."""
-    if a.initials and b.initials and not (a.initials.startswith(b.initials) or b.initials.startswith(a.initials)):
+def _same_givens(a: tuple[str, ...], b: tuple[str, ...], more_a: str, more_b: str, common: frozenset[str]) -> bool:
+    """Given names of two full names: alike when joined; or the first alike, and what follows, words or initials, no
+    contradiction: each that both have agrees, and one side may have more."""
+    x, y = "".join(a), "".join(b)
+    if same_given(x, y, common) and (len(a) == len(b) == 1 or near(x, y)):
+        return more_a.startswith(more_b) or more_b.startswith(more_a)
+    if not a or not b or len(a) == len(b) == 1 or not same_given(a[0], b[0], common):
         return False
-    return any(same_surname(s, t) and same_given("".join(g), "".join(h)) for s, g in a.readings() for t, h in b.readings())
+    for x, y in zip((*a[1:], *more_a), (*b[1:], *more_b)):
+        if not (x[0] == y[0] if min(len(x), len(y)) == 1 else same_given(x, y, common)):
+            return False
+    return True
+
+
+def same_person(a: Person, b: Person, common: frozenset[str] = frozenset()) -> bool:
+    """Two full names of one person: in some reading the surnames and the given names agree, each but for one
+    typing error, and no further given names or middle initials contradict."""
+    return any(same_surname(s, t, common) and _same_givens(g, h, a.initials, b.initials, common) for s, g in a.readings() for t, h in b.readings())
 
 
 def initials_fit(short: str, long: str) -> int:
