@@ -86,10 +86,11 @@ SAFE_TYPED = (
     rf'|"{SAFE_DAY}{SAFE_ZONE}"\^\^<xsd:date>'
     rf'|"{SAFE_DAY}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d{SAFE_ZONE}"\^\^<xsd:dateTime>'
 )
-SAFE_OBJECT = rf'<{IRI_BODY}>|{SAFE_TYPED}|"{TEXT_BODY}"(?:@{LANG}+|\^\^<xsd:string>)?+|_:[^\s<>"]++'
-SAFE_LINE = rf'(<{IRI_BODY}>|_:[^\s<>"]++) (<{IRI_BODY}>) ({SAFE_OBJECT})(?: (<{IRI_BODY}>))?+ \.\n'
-BULK_LINE = re.compile(SAFE_LINE, re.ASCII)
-BULK_BLOCK = re.compile(rf"(?:{SAFE_LINE.replace('(<', '(?:<').replace(rf'({SAFE_OBJECT})', f'(?:{SAFE_OBJECT})')})*+", re.ASCII)
+PLAIN_IRI = IRI_BODY.removesuffix("+")  # the columnar matcher has no possessive forms, and needs none
+PLAIN_TEXT = TEXT_BODY.removesuffix("+")
+SAFE_OBJECT = rf'<{PLAIN_IRI}>|{SAFE_TYPED}|"{PLAIN_TEXT}"(?:@{LANG}|\^\^<xsd:string>)?|_:[^\s<>"]+'
+#: A line that is surely valid, for the columnar matcher (linear time).
+BULK = rf'^(?P<s><{PLAIN_IRI}>|_:[^\s<>"]+) (?P<p><{PLAIN_IRI}>) (?P<o>{SAFE_OBJECT})(?: (?P<g><{PLAIN_IRI}>))? \.$'
 
 Statement = tuple[str, str, str, str | None]
 

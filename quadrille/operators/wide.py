@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.terms import normalise
+from ..runtime import materialise
 
 # The single-valued labels and their types; labels that hold several values.
 INT_LABELS = ["year", "volume", "issue", "page_start", "page_end"]
@@ -22,8 +25,8 @@ INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 def clean_value(c: Column) -> Column:
     """Outer white space, enclosing quotes and a language or datatype mark off; white space inside the quotes too."""
     bare = F.btrim(c, F.lit(SPACES))
-    marked = r'(?s)^"(.*)"(@[A-Za-z0-9-]+|\^\^\S+)?$'
-    return F.when(bare.startswith('"') & bare.rlike(marked), F.btrim(F.regexp_extract(bare, marked, 1), F.lit(SPACES))).otherwise(bare)
+    inner = F.regexp_replace(bare, r'(?s)^"(.*)"(@[A-Za-z0-9-]+|\^\^\S+)?$', "$1")  # as it is where nothing encloses it
+    return F.when(bare.startswith('"'), F.btrim(inner, F.lit(SPACES))).otherwise(bare)
 
 
 def whole_number(c: Column) -> Column:
@@ -43,9 +46,9 @@ def cells(rows: DataFrame) -> DataFrame:
         F.col("id").isNotNull() & F.col("label").isNotNull() & (F.col("val") != ""))
     typed = base.withColumn("val", F.when(F.col("label").isin(INT_LABELS), whole_number(F.col("val")).cast("string")).otherwise(F.col("val"))).filter("val is not null")
     single = F.col("label").isin(INT_LABELS + TEXT_LABELS)
-    one = typed.filter(single).groupBy("id", "label").agg(F.max(F.struct("loaded_at", "val")).getField("val").alias("val"), F.lit(None).cast("timestamp").alias("at"))
-    many = typed.filter(~single).groupBy("id", "label", "val").agg(F.min("loaded_at").cast("timestamp").alias("at")).select("id", "label", "val", "at")
-    return one.unionByName(many)
+    # one pass: a cell of a single value is a group of its own, of the others each distinct value
+    groups = typed.groupBy("id", "label", F.when(~single, F.col("val")).alias("own")).agg(F.max(F.struct("loaded_at", "val")).getField("val").alias("val"), F.min("loaded_at").cast("timestamp").alias("at"))
+    return groups.select("id", "label", "val", F.when(F.col("own").isNotNull(), F.col("at")).alias("at"))
 
 
 def _schema(texts: list[str]) -> str:
@@ -53,51 +56,73 @@ def _schema(texts: list[str]) -> str:
             + ", " + ", ".join(f"{c} array<string>" for c in LIST_LABELS.values()) + ", extra map<string,array<string>>")
 
 
+def _bounds(groups: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n groups begins in sorted group numbers, and the end."""
+    return np.searchsorted(groups, np.arange(n + 1)).astype(np.int32)
+
+
 def _stitch(key: tuple, table: pa.Table) -> pa.Table:
-    """One range: every label's values are scattered into a column aligned to the range's ordinals."""
-    ids = np.array(table["id"].to_pylist(), dtype=object)
-    entities, place = np.unique(ids, return_inverse=True)
-    n = len(entities)
-    labels = np.array(table["label"].to_pylist(), dtype=object)
-    vals = np.array(table["val"].to_pylist(), dtype=object)
-    at = table["at"].cast(pa.int64()).to_pylist() if n else []
-    base = int(key[0].as_py()) << 32
-    columns: dict[str, pa.Array] = {"ordinal": pa.array(base + np.arange(n), pa.int64()), "id": pa.array(entities, pa.string())}
-    rest = np.ones(len(ids), bool)
-    for label in INT_LABELS + TEXT_LABELS:
-        here = labels == label
-        rest &= ~here
-        column = np.full(n, None, object)
-        column[place[here]] = [int(v) for v in vals[here]] if label in INT_LABELS else vals[here]
-        columns[label] = pa.array(column, pa.int32() if label in INT_LABELS else pa.string())
-    lists: dict[str, list] = {c: [None] * n for c in LIST_LABELS.values()}
-    extra: list[dict] = [{} for _ in range(n)]
-    order = sorted(np.flatnonzero(rest), key=lambda i: (at[i] is not None, at[i] or 0, vals[i]))
-    for i in order:
-        if name := LIST_LABELS.get(labels[i]):
-            if lists[name][place[i]] is None:
-                lists[name][place[i]] = []
-            lists[name][place[i]].append(vals[i])
-        else:
-            extra[place[i]].setdefault(labels[i], []).append(vals[i])
-    for name, column in lists.items():
-        columns[name] = pa.array(column, pa.list_(pa.string()))
-    columns["extra"] = pa.array([list(e.items()) for e in extra], pa.map_(pa.string(), pa.list_(pa.string())))
+    """One range: every label's values are scattered into a typed column aligned to the range's ordinals, and the
+    columns are put side by side by position."""
+    table = table.combine_chunks()
+    coded = table["id"].combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    n = len(order)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    place = rank[coded.indices.to_numpy()]
+    label, val, at = (table[c].combine_chunks() for c in ("label", "val", "at"))
+    columns: dict[str, pa.Array] = {"ordinal": pa.array(key[1].as_py() + np.arange(n), pa.int64()), "id": coded.dictionary.take(pa.array(order))}
+    rest = np.ones(len(place), bool)
+
+    def of(name: str) -> np.ndarray:
+        here = pc.equal(label, name).to_numpy(zero_copy_only=False)
+        rest[here] = False
+        return np.flatnonzero(here)
+
+    for name in INT_LABELS + TEXT_LABELS:
+        found = of(name)
+        source = np.full(n, -1, np.int64)
+        source[place[found]] = found
+        column = val.take(pa.array(source, pa.int64(), mask=source < 0))
+        columns[name] = column.cast(pa.int32()) if name in INT_LABELS else column
+    # values of lists by entity, then first load (unknown before all), then text
+    loaded = np.where(at.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, at.cast(pa.int64()).fill_null(0).to_numpy())
+
+    def ordered(rows: np.ndarray, **more) -> np.ndarray:
+        t = pa.table({"place": place[rows], **more, "loaded": loaded[rows], "val": val.take(pa.array(rows))})
+        return rows[pc.sort_indices(t, sort_keys=[(c, "ascending") for c in t.column_names]).to_numpy()]
+
+    for name, out in LIST_LABELS.items():
+        found = ordered(of(name))
+        bounds = _bounds(place[found], n)
+        columns[out] = pa.ListArray.from_arrays(pa.array(bounds), val.take(pa.array(found)), mask=pa.array(bounds[1:] == bounds[:-1]))
+    found = np.flatnonzero(rest)
+    found = ordered(found, label=label.take(pa.array(found)))
+    names = label.take(pa.array(found))
+    numbers = names.dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.r_[True, (np.diff(place[found]) != 0) | (np.diff(numbers) != 0)][: len(found)])
+    items = pa.ListArray.from_arrays(pa.array(np.r_[first, len(found)].astype(np.int32)), val.take(pa.array(found)))
+    columns["extra"] = pa.MapArray.from_arrays(pa.array(_bounds(place[found][first], n)), names.take(pa.array(first)), items)
     return pa.table(columns)
 
 
 def wide_table(rows: DataFrame) -> DataFrame:
     """One row per entity with typed columns, arrays for labels of several values, rare labels in ``extra``.
 
-    Entities fall by hash into ordinal ranges of about RANGE entities; an entity's ordinal is
-    its range's base plus its place there. Each label's values become a typed column aligned
-    to the ordinals of the range, and the columns are put side by side by position. Repeated
+    Entities fall by hash into ranges of about RANGE entities; the ranges' numbers of entities, summed up, give each
+    range its first ordinal, so that ordinals count all entities from 0 without a gap. Each label's values become a typed
+    column aligned to the ordinals of the range, and the columns are put side by side by position. Repeated
     and outdated values are reduced before anything is shuffled by range.
     """
-    entities = rows.agg(F.approx_count_distinct("id")).first()[0]
-    ranges = max(1, -(-entities // RANGE))
-    ranged = cells(rows).select(F.pmod(F.xxhash64("id"), F.lit(ranges)).alias("range"), "id", "label", "val", F.col("at"))
-    return ranged.groupBy("range").applyInArrow(_stitch, _schema(TEXT_LABELS))
+    kept = materialise(cells(rows), "cells")
+    entities = kept.agg(F.approx_count_distinct("id")).first()[0]
+    at = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-entities // RANGE)))).alias("range")
+    sizes = kept.select(at, "id").distinct().groupBy("range").agg(F.count("*").alias("n"))
+    # one task: as many rows as there are ranges, entities / RANGE
+    bases = sizes.select("range", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    ranged = kept.select(at, "id", "label", "val", "at").join(bases, "range")
+    return ranged.groupBy("range", "base").applyInArrow(_stitch, _schema(TEXT_LABELS))
 
 
 def filled_cells(wide: DataFrame) -> DataFrame:

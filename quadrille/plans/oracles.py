@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.hashing import STRING_SEED
 from ..functions.terms import BASE_URI, DEFAULT_SOURCE
 
 TABLE_QUADS = """
@@ -146,7 +147,7 @@ def murmur(text: str) -> str:
         return f"((({x} * 8192 % {M} + {x} // 524288) * 5 + 3864292196) % {M})"
 
     pairs = f"[ascii(substr({text}, 2 * i - 1, 1)) * 65536 + ascii(substr({text}, 2 * i, 1)) FOR i IN range(1, length({text}) // 2 + 1)]"
-    h = f"list_reduce(list_prepend(4157230034::HUGEINT, [x::HUGEINT FOR x IN {pairs}]), lambda h, k: {step('h', 'k')})"
+    h = f"list_reduce(list_prepend({STRING_SEED}::HUGEINT, [x::HUGEINT FOR x IN {pairs}]), lambda h, k: {step('h', 'k')})"
     odd = f"CASE WHEN length({text}) % 2 = 1 THEN {mixed(f'ascii(substr({text}, length({text}), 1))')} ELSE 0 END"
     return (f"(SELECT CASE WHEN m3 >= {M // 2} THEN m3 - {M} ELSE m3 END::INT FROM (SELECT xor(m2, m2 // 65536) AS m3 FROM (SELECT xor(m1, m1 // 8192) * 3266489909 % {M} AS m2 "
             f"FROM (SELECT xor(m0, m0 // 65536) * 2246822507 % {M} AS m1 FROM (SELECT xor(xor({h}, {odd}), length({text})::HUGEINT) AS m0)))))")

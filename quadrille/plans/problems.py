@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.terms import BASE_URI
 from ..operators.orphans import orphan_counts, orphan_references
 from ..operators.packed import author_positions, unpack
 from ..operators.rejects import loaded, parse_lines, rejected
@@ -36,9 +37,7 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quads = table(spark, sf_dir, "raw_quads")
-    files = quads.select("line_no", "file_name")
-    return parse_lines(quads).join(files, "line_no").groupBy("file_name", F.coalesce("reason", F.lit("loaded")).alias("reason")).agg(F.count("*").alias("n"))
+    return parse_lines(spread(table(spark, sf_dir, "raw_quads")), keep=["file_name"]).groupBy("file_name", F.coalesce("reason", F.lit("loaded")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +67,15 @@ def p7_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size(F.coalesce("fields_of_study", F.array().cast("array<string>"))).cast("bigint").alias("n_fields"))
 
 
+def p7_wide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table as text: lists joined by a bar, rare labels as JSON in order of label."""
+    wide = wide_table(table(spark, sf_dir, "paper_attributes")).drop("ordinal")
+    joined = {c: F.array_join(c, "|") for c in ("authors", "fields_of_study")}
+    return wide.withColumns(joined | {"extra": F.to_json(F.map_from_entries(F.array_sort(F.map_entries("extra"))))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_change_counts, p2_found, p2_loaded, p2_reason_counts, p5_found, p5_flawed, p6_found, p6_orphan_counts, p7_found, p7_wide)
+    f.__name__: f for f in (p1_found, p1_change_counts, p2_found, p2_loaded, p2_reason_counts, p5_found, p5_flawed, p6_found, p6_orphan_counts, p7_found, p7_wide, p7_wide_text)
 }
 
 P1 = f"""
@@ -77,7 +83,7 @@ WITH content AS (
   SELECT snapshot, _id, _timestamp, _schemaelementid AS e,
          coalesce(list_sort(list_distinct(list_transform(list_filter(coalesce(_payload, []), lambda x: x IS NOT NULL),
            lambda x: lower(rtrim(CASE WHEN starts_with(replace(replace(x,'<',''),'>',''), '_:')
-             THEN 'http://informatik.uni-kiel.de/fluid#' || substr(replace(replace(x,'<',''),'>',''), 3)
+             THEN '{BASE_URI}' || substr(replace(replace(x,'<',''),'>',''), 3)
              ELSE replace(replace(x,'<',''),'>','') END, '/#'))))), []) AS p
   FROM imprint WHERE snapshot IS NOT NULL AND _id IS NOT NULL),
 h AS (SELECT snapshot, _id, arg_max(md5(to_json({{'p': p, 'e': e}})::VARCHAR), _timestamp) AS h FROM content GROUP BY 1, 2),
@@ -112,7 +118,18 @@ typed AS (
 cell AS (SELECT id, label, arg_max(val, (loaded_at, val)) AS val FROM typed WHERE val IS NOT NULL GROUP BY 1, 2)
 """
 
+SINGLE_TEXTS, SINGLE_INTS = ["title", "doc_type", "lang", "publisher", "issn", "doi"], ["year", "volume", "issue", "page_start", "page_end"]
+P7_WIDE = P7 + f""", several AS (
+  SELECT id, label, v, min(loaded_at) AS seen FROM bare WHERE v <> '' AND label IS NOT NULL AND label NOT IN ({", ".join(f"'{x}'" for x in SINGLE_TEXTS + SINGLE_INTS)}) GROUP BY 1, 2, 3),
+lists AS (SELECT id, string_agg(v, '|' ORDER BY seen NULLS FIRST, v) FILTER (label = 'author') AS authors, string_agg(v, '|' ORDER BY seen NULLS FIRST, v) FILTER (label = 'field-of-study') AS fields_of_study FROM several GROUP BY 1),
+rare AS (SELECT id, label, list(v ORDER BY seen NULLS FIRST, v) AS vs FROM several WHERE label NOT IN ('author', 'field-of-study') GROUP BY 1, 2),
+extra AS (SELECT id, '{{' || string_agg(to_json(label)::VARCHAR || ':' || to_json(vs)::VARCHAR, ',' ORDER BY label) || '}}' AS extra FROM rare GROUP BY 1),
+wide AS (SELECT id, {", ".join(f"max(val) FILTER (label = '{x}') AS {x}" for x in SINGLE_TEXTS)}, {", ".join(f"(max(val) FILTER (label = '{x}'))::INT AS {x}" for x in SINGLE_INTS)} FROM cell GROUP BY 1)
+SELECT coalesce(wide.id, lists.id) AS id, wide.* EXCLUDE (id), authors, fields_of_study, coalesce(extra, '{{}}') AS extra FROM wide FULL JOIN lists USING (id) LEFT JOIN extra ON extra.id = coalesce(wide.id, lists.id)
+"""
+
 ORACLES: dict[str, str] = {
+    "p7_wide_text": P7_WIDE,
     "p1_found": P1 + "SELECT * FROM found WHERE change IS NOT NULL",
     "p1_change_counts": P1 + "SELECT snapshot, change, count(*) AS n FROM found WHERE change IS NOT NULL GROUP BY 1, 2",
     "p6_found": P6 + "SELECT * FROM judged WHERE kind IS NOT NULL",
