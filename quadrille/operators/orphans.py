@@ -7,9 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, remove_path, salted_join, work_path
+from ..runtime import exists, materialise, names_in, remove_path, salted_join, work_path
 
 SPACES = " \t\n\x0b\f\r"
+ORPHANS = "period string, id string, ref_id string, kind string"
+PENDING = "id string, ref_id string, period string, `limit` timestamp_ntz"
 
 
 class OrphanTracker:
@@ -20,16 +22,26 @@ class OrphanTracker:
     arriving parents resolve what waits for them, deletions reopen references whose period is
     not closed yet. A reference is settled when its period is closed and its parent known;
     the rest stays pending and is touched again only by its own parent. State is written to the
-    shared folder, one version per step.
+    shared folder, one version per step, with the counts of orphans at its end.
+
+    With ``path`` the state lasts: another session that names the same path goes on after the last complete step.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.root = work_path(spark, "orphans")
+        self.root = path or work_path(spark, "orphans")
         self.known: DataFrame | None = None
         self.pending: DataFrame | None = None
         self.settled: list[str] = []
         self.steps = 0
+        done = [n for n in names_in(spark, self.root) if n.startswith("step=") and exists(spark, f"{self.root}/{n}/counts/_SUCCESS")] if path else []
+        for n in [x for x in names_in(spark, self.root) if x.startswith("step=") and x not in done] if path else []:
+            remove_path(spark, f"{self.root}/{n}")  # a step that did not end
+        if done:
+            self.steps = int(done[-1].split("=")[1])
+            self.known = spark.read.schema("id string, fd timestamp_ntz, dd timestamp_ntz").parquet(*[f"{self.root}/{n}/parents" for n in done])
+            self.pending = spark.read.schema(PENDING).parquet(f"{self.root}/{done[-1]}/pending")
+            self.settled = [f"{self.root}/{n}/settled" for n in done]
 
     @staticmethod
     def classify(fd: str = "first_delivered", dd: str = "first_deleted", limit: str = "limit"):
@@ -87,14 +99,28 @@ class OrphanTracker:
             waiting = waiting.unionByName(untouched)
         waiting.distinct().write.parquet(f"{at}/pending")
         self.pending = self.spark.read.parquet(f"{at}/pending")
+        # the counts of the step: settled orphans, and what waits as it stands now
+        waits = salted_join(self.pending, probe, ["ref_id"], "left").select("period", self.classify().alias("kind")).filter("kind is not null")
+        of_step = self.spark.read.schema(ORPHANS).parquet(f"{at}/settled").select("period", "kind").withColumn("open", F.lit(False)).unionByName(waits.withColumn("open", F.lit(True)))
+        of_step.groupBy("period", "kind", "open").agg(F.count("*").alias("n")).write.parquet(f"{at}/counts")
+
+    def counts(self) -> DataFrame:
+        """step, period, kind, n: orphans known at the end of each step, settled so far or waiting then."""
+        steps = [int(n.split("=")[1]) for n in names_in(self.spark, self.root) if n.startswith("step=")]
+        if not steps:
+            return self.spark.createDataFrame([], "step int, period string, kind string, n bigint")
+        rows = self.spark.read.option("basePath", self.root).parquet(*[f"{self.root}/step={s:04d}/counts" for s in steps])
+        later = F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s >= F.col("step"))
+        spread = rows.withColumn("step", F.explode(F.when(F.col("open"), F.array(F.col("step").cast("int"))).otherwise(later)))
+        return spread.groupBy("step", "period", "kind").agg(F.sum("n").alias("n"))
 
     def report(self) -> DataFrame:
         """period, id, ref_id, kind of all orphans as known now."""
         if self.pending is None:
-            return self.spark.createDataFrame([], "period string, id string, ref_id string, kind string")
+            return self.spark.createDataFrame([], ORPHANS)
         index = self.known.groupBy(F.col("id").alias("ref_id")).agg(F.min("fd").alias("first_delivered"), F.min("dd").alias("first_deleted"))
         open_now = salted_join(self.pending, index, ["ref_id"], "left").select("period", "id", "ref_id", self.classify().alias("kind")).filter("kind is not null")
-        done = self.spark.read.schema("period string, id string, ref_id string, kind string").parquet(*self.settled)
+        done = self.spark.read.schema(ORPHANS).parquet(*self.settled)
         return done.unionByName(open_now).distinct()
 
     def close(self) -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import normalise
-from ..runtime import remove_path, shuffle_partitions, work_path
+from ..runtime import names_in, read_note, remove_path, shuffle_partitions, work_path, write_note
 
 
 def payload_set(payload: Column | str) -> Column:
@@ -35,16 +36,25 @@ class SnapshotIndex:
     index and returns the changes; then the new index takes the old one's place. Both sides
     are bucketed alike, so the probe needs no shuffle of the index. Rows with a null key are
     dropped. A hot key is reduced map-side before any shuffle.
+
+    With ``path`` the index lasts: another session that names the same path goes on from the last delivery whose
+    changes were stored (``drop_old`` ends a step). A note names the index in force and its buckets; a delivery that was
+    not ended is done again.
     """
 
-    def __init__(self, spark: SparkSession, key: str, order: str, content: Column, buckets: int | None = None, keep_values: list[str] | None = None):
+    def __init__(self, spark: SparkSession, key: str, order: str, content: Column, buckets: int | None = None, keep_values: list[str] | None = None, path: str | None = None):
         self.spark, self.key, self.order, self.content = spark, key, order, content
         self.buckets = buckets or shuffle_partitions(spark)
         self.keep_values = keep_values or []
-        self.root = work_path(spark, "snapshot-index")
+        self.root = path or work_path(spark, "snapshot-index")
         self.current: str | None = None
         self.values: DataFrame | None = None
         self.old: str | None = None
+        if path and (notes := [n for n in names_in(spark, path) if n.startswith("index-")]):
+            note = json.loads(read_note(spark, f"{path}/{notes[-1]}"))
+            self.buckets, self.current = note["buckets"], note["name"]
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.current} ({note['columns']}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{path}/{self.current}'")
+        self.steps = int(notes[-1].split("-")[1]) if path and notes else 0
 
     def _write(self, df: DataFrame) -> str:
         name = f"quadrille_index_{uuid.uuid4().hex[:12]}"
@@ -60,7 +70,8 @@ class SnapshotIndex:
         """Changes against the snapshot before: key, change (added, removed, changed); None for the first.
 
         With ``keep_values``, old_<c> and new_<c> are fetched for changed keys alone. The rows of
-        the old delivery are read again for that, never held in the index.
+        the old delivery are read again for that, never held in the index; where the index was opened by its path,
+        ``values`` are these rows.
         """
         new = (
             rows.filter(F.col(self.key).isNotNull())
@@ -72,7 +83,9 @@ class SnapshotIndex:
         )
         fresh = self._write(new)
         before, self.current = self.current, fresh
-        old_rows, self.values = self.values, rows
+        old_rows, self.values = values if values is not None else self.values, rows
+        if self.keep_values and before is not None and old_rows is None:
+            raise ValueError("values: the rows of the delivery before are needed")
         if before is None:
             return None
         a = self.spark.table(before).withColumnRenamed("h", "h_old")
@@ -92,7 +105,11 @@ class SnapshotIndex:
         return changes
 
     def drop_old(self) -> None:
-        """Ends the swap: the index before is given up, once its changes are stored."""
+        """Ends the swap: the new index is noted as the one in force and the one before given up, once its changes are stored."""
+        self.steps += 1
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.table(self.current).schema)
+        write_note(self.spark, f"{self.root}/index-{self.steps:09d}", json.dumps({"name": self.current, "buckets": self.buckets, "columns": columns}))
+        remove_path(self.spark, f"{self.root}/index-{self.steps - 1:09d}")
         if self.old:
             self._drop(self.old)
             self.old = None
@@ -104,23 +121,36 @@ class SnapshotIndex:
         remove_path(self.spark, self.root)
 
 
-def snapshot_changes(imprints: DataFrame) -> DataFrame:
-    """snapshot, _id, change for each snapshot but the first, against the next lower one present.
-
-    Rows with null ``snapshot`` or ``_id`` are disregarded; an empty table gives no rows. Per
-    snapshot the index is probed and swapped, the changes go to the shared folder.
-    """
+def _deliveries(imprints: DataFrame, keep_values: list[str], schema: str) -> DataFrame:
+    """snapshot, _id, change and the kept values of each delivery against the one before."""
     spark = imprints.sparkSession
     numbers = sorted(r[0] for r in imprints.select("snapshot").where("snapshot is not null").distinct().collect())
-    schema = "snapshot int, _id int, change string"
     if len(numbers) < 2:
         return spark.createDataFrame([], schema)
     out = work_path(spark, "snapshot-changes")
-    index = SnapshotIndex(spark, "_id", "_timestamp", imprint_hash())
+    index = SnapshotIndex(spark, "_id", "_timestamp", imprint_hash(), keep_values=keep_values)
     for n in numbers:
         changes = index.advance(imprints.filter(F.col("snapshot") == n))
         if changes is not None:
-            changes.select(F.lit(n).cast("int").alias("snapshot"), F.col("_id").cast("int").alias("_id"), "change").write.mode("append").parquet(out)
-            index.drop_old()
+            changes.select(F.lit(n).cast("int").alias("snapshot"), F.col("_id").cast("int").alias("_id"), *[c for c in changes.columns if c != "_id"]).write.mode("append").parquet(out)
+        index.drop_old()
     index.close()
     return spark.read.schema(schema).parquet(out)
+
+
+def snapshot_changes(imprints: DataFrame) -> DataFrame:
+    """snapshot, _id, change for each snapshot but the first, against the next lower one present.
+
+    Rows with null ``snapshot`` or ``_id`` are disregarded; an empty table gives no rows. Per
+    snapshot the index is probed and swapped, the changes go to the shared folder.
+    """
+    return _deliveries(imprints, [], "snapshot int, _id int, change string")
+
+
+def snapshot_values(imprints: DataFrame) -> DataFrame:
+    """The changes with their values before and after: snapshot, _id, change, old_ and new_ _payload and _schemaelementid.
+
+    Values are fetched for changed vertices alone; added ones have no old, removed ones no new. The payload is as delivered.
+    """
+    kept = "_payload array<string>, {0}_schemaelementid int"
+    return _deliveries(imprints, ["_payload", "_schemaelementid"], "snapshot int, _id int, change string, " + ", ".join(f"{x}{kept.format(x)}" for x in ("old_", "new_")))

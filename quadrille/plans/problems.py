@@ -11,7 +11,7 @@ from ..functions.terms import BASE_URI
 from ..operators.orphans import orphan_counts, orphan_references
 from ..operators.packed import author_positions, unpack
 from ..operators.rejects import loaded, parse_lines, rejected
-from ..operators.snapshots import snapshot_changes
+from ..operators.snapshots import payload_set, snapshot_changes, snapshot_values
 from ..operators.wide import filled_cells, wide_table
 from ..runtime import spread
 
@@ -28,6 +28,14 @@ def p1_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).groupBy("snapshot", "change").agg(F.count("*").alias("n"))
 
 
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes with the schema elements and the normalised payloads (as text) before and after."""
+    rows = snapshot_values(table(spark, sf_dir, "imprint"))
+    text = {f"{x}_payload": F.array_join(payload_set(f"{x}__payload"), "|") for x in ("old", "new")}
+    return rows.select("snapshot", "_id", "change", F.col("old__schemaelementid").alias("old_element"), F.col("new__schemaelementid").alias("new_element"),
+                       F.when(F.col("change") != "added", text["old_payload"]).alias("old_payload"), F.when(F.col("change") != "removed", text["new_payload"]).alias("new_payload"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected(spread(table(spark, sf_dir, "raw_quads")))
 
@@ -75,7 +83,7 @@ def p7_wide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_change_counts, p2_found, p2_loaded, p2_reason_counts, p5_found, p5_flawed, p6_found, p6_orphan_counts, p7_found, p7_wide, p7_wide_text)
+    f.__name__: f for f in (p1_found, p1_change_counts, p1_values, p2_found, p2_loaded, p2_reason_counts, p5_found, p5_flawed, p6_found, p6_orphan_counts, p7_found, p7_wide, p7_wide_text)
 }
 
 P1 = f"""
@@ -86,13 +94,14 @@ WITH content AS (
              THEN '{BASE_URI}' || substr(replace(replace(x,'<',''),'>',''), 3)
              ELSE replace(replace(x,'<',''),'>','') END, '/#'))))), []) AS p
   FROM imprint WHERE snapshot IS NOT NULL AND _id IS NOT NULL),
-h AS (SELECT snapshot, _id, arg_max(md5(to_json({{'p': p, 'e': e}})::VARCHAR), _timestamp) AS h FROM content GROUP BY 1, 2),
+h AS (SELECT snapshot, _id, arg_max(md5(to_json({{'p': p, 'e': e}})::VARCHAR), _timestamp) AS h, arg_max({{'p': p, 'e': e}}, _timestamp) AS x FROM content GROUP BY 1, 2),
 n AS (SELECT snapshot, lag(snapshot) OVER (ORDER BY snapshot) AS before, lead(snapshot) OVER (ORDER BY snapshot) AS after FROM (SELECT DISTINCT snapshot FROM h)),
-c AS (SELECT n.snapshot, h._id, h.h FROM h JOIN n USING (snapshot) WHERE before IS NOT NULL),
-b AS (SELECT n.after AS snapshot, h._id, h.h FROM h JOIN n USING (snapshot) WHERE after IS NOT NULL),
+c AS (SELECT n.snapshot, h._id, h.h, h.x FROM h JOIN n USING (snapshot) WHERE before IS NOT NULL),
+b AS (SELECT n.after AS snapshot, h._id, h.h, h.x FROM h JOIN n USING (snapshot) WHERE after IS NOT NULL),
 found AS (
   SELECT coalesce(c.snapshot, b.snapshot)::INT AS snapshot, coalesce(c._id, b._id)::INT AS _id,
-         CASE WHEN b.h IS NULL THEN 'added' WHEN c.h IS NULL THEN 'removed' WHEN b.h <> c.h THEN 'changed' END AS change
+         CASE WHEN b.h IS NULL THEN 'added' WHEN c.h IS NULL THEN 'removed' WHEN b.h <> c.h THEN 'changed' END AS change,
+         b.x.e AS old_element, c.x.e AS new_element, array_to_string(b.x.p, '|') AS old_payload, array_to_string(c.x.p, '|') AS new_payload
   FROM c FULL OUTER JOIN b ON c.snapshot = b.snapshot AND c._id = b._id)
 """
 P6 = r"""
@@ -130,7 +139,8 @@ SELECT coalesce(wide.id, lists.id) AS id, wide.* EXCLUDE (id), authors, fields_o
 
 ORACLES: dict[str, str] = {
     "p7_wide_text": P7_WIDE,
-    "p1_found": P1 + "SELECT * FROM found WHERE change IS NOT NULL",
+    "p1_values": P1 + "SELECT * FROM found WHERE change IS NOT NULL",
+    "p1_found": P1 + "SELECT snapshot, _id, change FROM found WHERE change IS NOT NULL",
     "p1_change_counts": P1 + "SELECT snapshot, change, count(*) AS n FROM found WHERE change IS NOT NULL GROUP BY 1, 2",
     "p6_found": P6 + "SELECT * FROM judged WHERE kind IS NOT NULL",
     "p6_orphan_counts": P6 + "SELECT 'papers' AS tbl, period, kind, count(*) AS n FROM judged WHERE kind IS NOT NULL GROUP BY 2, 3",

@@ -66,6 +66,38 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, in order; none if it is missing."""
+    p, fs = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that appears whole or not at all: written aside, then renamed."""
+    p, fs = _fs(spark, path)
+    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(aside, p):
+        raise OSError(f"could not write {path}")
+
+
+def read_note(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,6 +1,10 @@
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -9,7 +13,7 @@ from hypothesis import strategies as st
 
 from quadrille.functions.nquads import diagnose, valid_text
 from quadrille.functions.packed import split_packed
-from quadrille.operators.orphans import orphan_references
+from quadrille.operators.orphans import OrphanTracker, orphan_references
 from quadrille.operators.packed import author_positions, unpack
 from quadrille.operators.rejects import loaded, parse_block, rejected
 from quadrille.operators.snapshots import SnapshotIndex, imprint_hash, snapshot_changes
@@ -54,6 +58,41 @@ def test_old_values_of_changes(spark):
     index.close()
 
 
+LASTING = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {path!r} + "/warehouse").getOrCreate()
+from quadrille.operators.snapshots import SnapshotIndex, imprint_hash
+index = SnapshotIndex(spark, "_id", "_timestamp", imprint_hash(), path={path!r} + "/index")
+rows = spark.createDataFrame([(1, 1, ["a"], 5), (2, 1, ["a"], 5), (3, 1, ["a"], 5)], "_id int, _timestamp long, _payload array<string>, _schemaelementid int")
+assert index.advance(rows) is None
+index.drop_old()
+from quadrille.operators.orphans import OrphanTracker
+import datetime as dt
+tracker = OrphanTracker(spark, path={path!r} + "/orphans")
+papers = spark.createDataFrame([("a", dt.datetime(2021, 1, 5), ["b", "c"])], "id string, delivered_at timestamp_ntz, references array<string>")
+tracker.advance(papers, spark.createDataFrame([], "id string, deleted_at timestamp_ntz"), dt.datetime(2021, 2, 1))
+"""
+
+
+def test_state_outlives_its_process(spark, tmp_path):
+    """The first delivery is taken by another process, which ends; this one goes on from the paths."""
+    root = str(Path(__file__).resolve().parents[1])
+    subprocess.run([sys.executable, "-c", LASTING.format(root=root, path=str(tmp_path))], check=True, timeout=300, env=os.environ | {"PYTHONPATH": root})
+    index = SnapshotIndex(spark, "_id", "_timestamp", imprint_hash(), path=str(tmp_path / "index"))
+    rows_now = spark.createDataFrame([(1, 2, ["a"], 5), (2, 2, ["b"], 5), (4, 2, None, 1)], "_id int, _timestamp long, _payload array<string>, _schemaelementid int")
+    changes = index.advance(rows_now)
+    assert index.buckets == 3 and rows(changes) == [(2, "changed"), (3, "removed"), (4, "added")]
+    index.drop_old()
+    assert sorted(map(tuple, SnapshotIndex(spark, "_id", "_timestamp", imprint_hash(), path=str(tmp_path / "index")).advance(rows_now.limit(0)).collect())) == [(1, "removed"), (2, "removed"), (4, "removed")]
+    tracker = OrphanTracker(spark, path=str(tmp_path / "orphans"))
+    papers = spark.createDataFrame([("b", when(2, 3), None)], PAPERS)
+    tracker.advance(papers, spark.createDataFrame([], "id string, deleted_at timestamp_ntz"), when(3, 1))
+    assert tracker.steps == 2 and rows(tracker.report()) == [("2021-01", "a", "b", "late"), ("2021-01", "a", "c", "missing")]
+    assert rows(tracker.counts()) == [(1, "2021-01", "missing", 2), (2, "2021-01", "late", 1), (2, "2021-01", "missing", 1)]
+
+
 GOOD = ['<http://a> <b> <c> <g> .', '_:x <b> "t"@en-GB .', '<a> <b> "1"^^<xsd:integer> .', '<a> <b> "say \\"x\\" \\u00E9" <g> .', '<a> <b> "2012-02-29"^^<xsd:date> .', '<a> <b> ""^^<xsd:string> .', '<a> <b> "NaN"^^<xsd:double> .']
 BAD = {
     '<a> <b> "open': "quoting", 'rest of it" <g> .': "quoting", "<a> <b> 'x' <g> .": "quoting", "<a> <b> “x” <g> .": "quoting", '<a> <b> "a "b" c" .': "quoting", '<a> <b> ""x"" .': "quoting", '<a> <b> "\\q" .': "quoting", '<a> <b> "\\u12" .': "quoting",
