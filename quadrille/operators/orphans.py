@@ -11,7 +11,7 @@ from ..runtime import exists, materialise, names_in, remove_path, salted_join, w
 
 SPACES = " \t\n\x0b\f\r"
 ORPHANS = "period string, id string, ref_id string, kind string"
-PENDING = "id string, ref_id string, period string, `limit` timestamp_ntz"
+PENDING = "id string, ref_id string, period string, `limit` timestamp_ntz, kind string"
 
 
 class OrphanTracker:
@@ -85,7 +85,7 @@ class OrphanTracker:
         judged = salted_join(new, probe, ["ref_id"], "left")
         if self.pending is not None:
             keys = touched.select(F.col("id").alias("ref_id"))
-            again = salted_join(salted_join(self.pending, keys, ["ref_id"], "left_semi"), probe, ["ref_id"], "left")
+            again = salted_join(salted_join(self.pending.drop("kind"), keys, ["ref_id"], "left_semi"), probe, ["ref_id"], "left")
             judged = judged.unionByName(again)
             untouched = salted_join(self.pending, keys, ["ref_id"], "left_anti")
         judged = judged.select("id", "ref_id", "period", "limit", self.classify().alias("kind"), F.col("first_delivered").isNotNull().alias("seen"))
@@ -94,13 +94,13 @@ class OrphanTracker:
         closed = F.col("limit") <= F.lit(until).cast("timestamp_ntz")
         judged.filter(F.col("kind").isNotNull() & F.col("seen") & closed).select("period", "id", "ref_id", "kind").write.parquet(f"{at}/settled")
         self.settled.append(f"{at}/settled")
-        waiting = judged.filter(~(F.col("seen") & closed)).select("id", "ref_id", "period", "limit")
+        waiting = judged.filter(~(F.col("seen") & closed)).select("id", "ref_id", "period", "limit", "kind")
         if self.pending is not None:
             waiting = waiting.unionByName(untouched)
         waiting.distinct().write.parquet(f"{at}/pending")
         self.pending = self.spark.read.parquet(f"{at}/pending")
-        # the counts of the step: settled orphans, and what waits as it stands now
-        waits = salted_join(self.pending, probe, ["ref_id"], "left").select("period", self.classify().alias("kind")).filter("kind is not null")
+        # the counts of the step: settled orphans, and what waits; its kind changes only when its own parent is touched
+        waits = self.pending.filter("kind is not null").select("period", "kind")
         of_step = self.spark.read.schema(ORPHANS).parquet(f"{at}/settled").select("period", "kind").withColumn("open", F.lit(False)).unionByName(waits.withColumn("open", F.lit(True)))
         of_step.groupBy("period", "kind", "open").agg(F.count("*").alias("n")).write.parquet(f"{at}/counts")
 
@@ -118,8 +118,7 @@ class OrphanTracker:
         """period, id, ref_id, kind of all orphans as known now."""
         if self.pending is None:
             return self.spark.createDataFrame([], ORPHANS)
-        index = self.known.groupBy(F.col("id").alias("ref_id")).agg(F.min("fd").alias("first_delivered"), F.min("dd").alias("first_deleted"))
-        open_now = salted_join(self.pending, index, ["ref_id"], "left").select("period", "id", "ref_id", self.classify().alias("kind")).filter("kind is not null")
+        open_now = self.pending.filter("kind is not null").select("period", "id", "ref_id", "kind")
         done = self.spark.read.schema(ORPHANS).parquet(*self.settled)
         return done.unionByName(open_now).distinct()
 
