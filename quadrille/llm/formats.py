@@ -34,14 +34,17 @@ def encoded_records(lines: DataFrame, key: str = "line_id", record: str = "venue
     """
     parsed = lines.filter(F.col(key).isNotNull() & F.col(record).isNotNull()).select(key, F.xxhash64(record).alias("rec"), F.from_json(record, "map<string,string>").alias("m"), record)
     parsed = parsed.withColumn("m", F.when(F.col("m").isNull(), F.create_map(F.lit(""), F.col(record))).otherwise(F.col("m")))
-    entries = parsed.select(key, "rec", F.explode("m").alias("field", "value")).filter("value is not null")
+    # each record's fields, and one nameless row for the record itself, which may have none
+    fields = F.filter(F.map_entries("m"), lambda e: e["value"].isNotNull())
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    stored = materialise(parsed.select(key, "rec", F.explode(F.concat(fields, itself)).alias("e")).select(key, "rec", F.col("e.key").alias("field"), F.col("e.value").alias("value")), "entries")
+    entries = stored.filter("field is not null")
     distinct = entries.select("field", "value").distinct().select("field", "value", _canonical("field").alias("f"), _canonical("value").alias("v")).filter("v != ''")
     distinct = materialise(distinct, "canonical")
     numbers = materialise(distinct.select("f", "v").distinct().withColumn("code", F.monotonically_increasing_id()), "numbers")
     codes = distinct.join(numbers, ["f", "v"]).select("field", "value", "code")
-    coded = salted_join(entries, codes, ["field", "value"]).groupBy(key, "rec").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    bare = parsed.select(key, "rec").distinct().join(coded.select(key, "rec"), [key, "rec"], "left_anti").select(key, "rec", F.array().cast("array<bigint>").alias("codes"))
-    return coded.unionByName(bare).select(key, "codes").distinct()
+    coded = salted_join(entries, codes, ["field", "value"]).select(key, "rec", "code").unionByName(stored.filter("field is null").select(key, "rec", F.lit(None).cast("bigint").alias("code")))
+    return coded.groupBy(key, "rec").agg(F.array_sort(F.collect_set("code")).alias("codes")).select(key, "codes").distinct()
 
 
 def copy_groups(records: DataFrame, key: str = "line_id") -> DataFrame:
