@@ -24,8 +24,8 @@ WORDS = {
     "state": "state staats", "statistics": "stat stats statistics statistical", "system": "sys system systems", "tech": "tech techn technical technische technology technol technological technique technologies", "telecom": "telecom telecommunications telecommunication",
     "university": "univ uni u universitat universitaet universite universidad universita universidade universities university", "veterinary": "vet veterinary", "web": "web",
 }
-# A word that stands for several in another language.
-PHRASES = {"hochschule": "university applied science", "fachhochschule": "university applied science"}
+# A word or usual acronym that stands for several words.
+PHRASES = {"hochschule": "university applied science", "fachhochschule": "university applied science", "uas": "university applied science", "tu": "tech university"}
 STOP = frozenset("of for f fur the and de di du des der da della la le et und in at".split())
 DEPARTMENT = re.compile(r"\s*(?:dept|department|faculty|fac|chair|division|div|section|group|lehrstuhl|institut fur|school of engineering)\b", re.I)
 CANON = {w: k for k, words in WORDS.items() for w in words.split()}
