@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.nquads import LANG, PLAIN_IRI, PLAIN_TEXT, XSD
 from ..functions.terms import BASE_URI
 from ..operators.orphans import orphan_counts, orphan_references
 from ..operators.packed import author_positions, unpack
@@ -127,6 +128,17 @@ typed AS (
 cell AS (SELECT id, label, arg_max(val, (loaded_at, val)) AS val FROM typed WHERE val IS NOT NULL GROUP BY 1, 2)
 """
 
+# statements by one pattern; typed texts are held against the lexical spaces that occur in the tables
+OBJECT = rf'<{PLAIN_IRI}>|_:[^\s<>"]+|"{PLAIN_TEXT}"(?:@{LANG}|\^\^<{PLAIN_IRI}>)?'
+STATEMENT = rf'(<{PLAIN_IRI}>|_:[^\s<>"]+) (<{PLAIN_IRI}>) ({OBJECT})(?: (<{PLAIN_IRI}>))? \.'.replace("'", "''")
+KIND = "regexp_replace(regexp_extract(o, '\"\\^\\^<([^>]*)>$', 1), '^(xsd:|http://www.w3.org/2001/XMLSchema#)', '')"
+TYPED = "CASE kind " + " ".join(f"WHEN '{k}' THEN regexp_full_match(val, '{XSD[k]}')" + (" AND try_cast(val[:10] AS DATE) IS NOT NULL" if k.startswith("date") else "") for k in ("integer", "decimal", "double", "float", "boolean", "gYear", "date", "dateTime", "nonNegativeInteger", "positiveInteger", "int", "long")) + " ELSE true END"
+P2_LOADED = rf"""
+WITH found AS (SELECT line_no, unnest(regexp_extract(value, '^{STATEMENT}$', ['s', 'p', 'o', 'g'])) FROM raw_quads WHERE regexp_full_match(value, '{STATEMENT}')),
+typed AS (SELECT *, {KIND} AS kind, regexp_extract(o, '^"(.*)"\^\^<', 1) AS val FROM found)
+SELECT line_no, s, p, o, nullif(g, '') AS g FROM typed WHERE NOT starts_with(o, '"') OR {TYPED}
+"""
+
 SINGLE_TEXTS, SINGLE_INTS = ["title", "doc_type", "lang", "publisher", "issn", "doi"], ["year", "volume", "issue", "page_start", "page_end"]
 P7_WIDE = P7 + f""", several AS (
   SELECT id, label, v, min(loaded_at) AS seen FROM bare WHERE v <> '' AND label IS NOT NULL AND label NOT IN ({", ".join(f"'{x}'" for x in SINGLE_TEXTS + SINGLE_INTS)}) GROUP BY 1, 2, 3),
@@ -138,6 +150,7 @@ SELECT coalesce(wide.id, lists.id) AS id, wide.* EXCLUDE (id), authors, fields_o
 """
 
 ORACLES: dict[str, str] = {
+    "p2_loaded": P2_LOADED,
     "p7_wide_text": P7_WIDE,
     "p1_values": P1 + "SELECT * FROM found WHERE change IS NOT NULL",
     "p1_found": P1 + "SELECT snapshot, _id, change FROM found WHERE change IS NOT NULL",
