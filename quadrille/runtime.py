@@ -56,7 +56,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes what ``materialise`` stored, once nothing that is still to be computed reads it."""
+    for df in stored:
+        remove_path(df.sparkSession, df._stored_at)
+        _made.remove(df._stored_at)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
