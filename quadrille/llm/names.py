@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import hot_join, materialise, salted_join
+from ..runtime import discard, hot_join, materialise, salted_join
 from .naming import Person, acronyms, deletions, given_forms, initial_runs, initials_fit, org_tokens, person_parts, phonetic, same_org, same_person, same_surname
 
 LONGS = T.ArrayType(T.LongType())
@@ -29,13 +29,14 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     both = materialise(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     if both.isEmpty():
         return nodes.select("node", F.col("node").alias("label"))
-    labels = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    stored = labels = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     for _ in range(rounds):
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         low = labels.join(heard, "node").select("node", F.least("label", "heard").alias("low"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
         new = materialise(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("label"), "was"), "labels")
-        labels = new.select("node", "label")
+        discard(stored)
+        stored, labels = new, new.select("node", "label")
         if new.filter("label <> was").isEmpty():
             break
     else:
@@ -43,9 +44,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def _pairs(keyed: DataFrame, name: str) -> DataFrame:
-    """Candidate pairs a < b of distinct names that share a block key. keyed: node, key."""
-    keyed = materialise(keyed, name)
+def _pairs(keyed: DataFrame) -> DataFrame:
+    """Candidate pairs a < b of distinct names that share a block key. keyed: node, key, stored."""
     left = keyed.select("key", F.col("node").alias("a"))
     right = keyed.select("key", F.col("node").alias("b"))
     return left.join(right, "key").filter("a < b").select("a", "b").distinct()
@@ -54,12 +54,13 @@ def _pairs(keyed: DataFrame, name: str) -> DataFrame:
 def _divided(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     """keyed, the names of blocks beyond HOT put into smaller blocks of a second key. Two names that are one person
     have given names that are equal, short for the same, or a slip apart, and so share a second key."""
-    keyed = materialise(keyed, "blocks")
     hot = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot-blocks")
     if hot.isEmpty():
         return keyed
     again = hot_join(keyed, hot, ["key"]).join(nodes.select("node", "name"), "node").select("node", F.explode(_second_keys("key", "name")).alias("key"))
-    return hot_join(keyed, hot, ["key"], "left_anti").select("node", "key").unionByName(again)
+    out = materialise(hot_join(keyed, hot, ["key"], "left_anti").select("node", "key").unionByName(again), "small-blocks")
+    discard(keyed)
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -126,8 +127,9 @@ def org_clusters(orgs: DataFrame) -> DataFrame:
     """
     named = materialise(orgs.select("org").filter("org is not null").distinct().select("org", _org_node("org").alias("words")).filter("words != ''"), "org-names")
     nodes = _numbered(named.select("words").distinct(), "org-nodes")
-    keyed = nodes.select("node", F.explode(_org_keys("words")).alias("key"))
-    edges = _named_pairs(_pairs(keyed, "org-blocks"), nodes, nodes, "words").filter(_same_org("x", "y"))
+    keyed = materialise(nodes.select("node", F.explode(_org_keys("words")).alias("key")), "org-blocks")
+    edges = materialise(_named_pairs(_pairs(keyed), nodes, nodes, "words").filter(_same_org("x", "y")).select("a", "b"), "org-pairs")
+    discard(keyed)
     placed = materialise(named.join(nodes.join(components(nodes, edges), "node"), "words").select("org", "label"), "org-classes")
     short = placed.select("label", F.explode(_acronym_keys("org")).alias("key")).distinct()
     spelled = placed.select(F.col("label").alias("b"), F.explode(_run_keys("org")).alias("key")).distinct()
@@ -273,8 +275,9 @@ def person_clusters(records: DataFrame, orgs: DataFrame) -> DataFrame:
     named = materialise(placed.select("id", "org", _person_node("name").alias("name")), "person-names")
     nodes = _numbered(named.select("org", "name").distinct().withColumn("n", _full_words("name")), "person-nodes")
     full, short = nodes.filter("n >= 2"), nodes.filter("n = 1")
-    keyed = full.select("node", F.explode(_full_keys("org", "name")).alias("key"))
-    edges = _named_pairs(_pairs(_divided(keyed, full), "full-blocks"), full, full, "name").filter(_same_person(_common_words(full))("x", "y"))
+    keyed = _divided(materialise(full.select("node", F.explode(_full_keys("org", "name")).alias("key")), "full-blocks"), full)
+    edges = materialise(_named_pairs(_pairs(keyed), full, full, "name").filter(_same_person(_common_words(full))("x", "y")).select("a", "b"), "full-pairs")
+    discard(keyed)
     labels = materialise(components(full, edges), "full-people")
     joined = materialise(_attach(short, full.join(labels, "node")), "short-people")
     alone = short.join(joined, "node", "left_anti")
@@ -282,8 +285,9 @@ def person_clusters(records: DataFrame, orgs: DataFrame) -> DataFrame:
     # one with a single initial joins the one of these that it fits
     counted = materialise(alone.withColumn("m", F.length(F.get_json_object("name", "$[1]"))), "alone")
     several = counted.filter("m >= 2")
-    near_keys = several.select("node", F.explode(_surname_keys("org", "name")).alias("key"))
-    twins = _named_pairs(_pairs(near_keys, "initial-blocks"), several, several, "name").filter(_near_short("x", "y"))
+    near_keys = materialise(several.select("node", F.explode(_surname_keys("org", "name")).alias("key")), "initial-blocks")
+    twins = materialise(_named_pairs(_pairs(near_keys), several, several, "name").filter(_near_short("x", "y")).select("a", "b"), "initial-pairs")
+    discard(near_keys)
     joined_several = components(several, twins)
     joined_short = materialise(_attach(counted.filter("m <= 1"), several.join(joined_several, "node")).unionByName(joined_several), "initials")
     rest = alone.join(joined_short, "node", "left_anti").select("node", F.col("node").alias("label"))
