@@ -1,4 +1,4 @@
-"""A property graph as two frames: labels of vertices, and edges."""
+"""A property graph as two frames: labels of vertices, and edges. ``by``: columns that tell several graphs of one frame apart."""
 
 from __future__ import annotations
 
@@ -21,18 +21,18 @@ def plain_edge(signal: str | None) -> Column:
     return F.lit(True) if signal in (EVERY, None) else F.col("p") != signal
 
 
-def labels(quads: DataFrame, signal: str | None) -> DataFrame:
+def labels(quads: DataFrame, signal: str | None, by: tuple[str, ...] = ()) -> DataFrame:
     """v, labels (sorted set) of vertices with a label; partial sets are built map-side."""
-    return quads.filter(class_edge(signal) & F.col("s").isNotNull() & F.col("o").isNotNull()).groupBy(F.col("s").alias("v")).agg(F.array_sort(F.collect_set("o")).alias("labels"))
+    return quads.filter(class_edge(signal) & F.col("s").isNotNull() & F.col("o").isNotNull()).groupBy(*by, F.col("s").alias("v")).agg(F.array_sort(F.collect_set("o")).alias("labels"))
 
 
-def edges(quads: DataFrame, signal: str | None, undirected: bool = False, literal_subjects: bool = False) -> DataFrame:
+def edges(quads: DataFrame, signal: str | None, undirected: bool = False, literal_subjects: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """s, p, o, g of the property edges. Undirected adds each edge turned round, unless its object is a literal. One scan."""
-    out = quads.filter(plain_edge(signal) & F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()).select("s", "p", "o", "g")
+    out = quads.filter(plain_edge(signal) & F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()).select(*by, "s", "p", "o", "g")
     if not undirected:
         return out
-    there = F.struct("s", "p", "o", "g")
-    back = F.struct(F.col("o").alias("s"), "p", F.col("s").alias("o"), "g")
+    there = F.struct(*by, "s", "p", "o", "g")
+    back = F.struct(*by, F.col("o").alias("s"), "p", F.col("s").alias("o"), "g")
     turns = F.array(there, back) if literal_subjects else F.when(is_literal("o"), F.array(there)).otherwise(F.array(there, back))
     return out.select(F.explode(turns).alias("e")).select("e.*")
 

@@ -1,11 +1,13 @@
-"""Snapshots against one another: what each vertex did, the change counters, and deltas."""
+"""Snapshots against one another: what each vertex did, the change counters, and deltas. ``by``: columns that tell several graphs of one frame apart."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import class_edge
+from .graph import class_edge, plain_edge
 from .models import summarize
 from .summary import imprints, vertices_of
 
@@ -110,38 +112,51 @@ def change_counters(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return one.select(*names, (F.col("elements") + F.col("shrunk")).alias("payloadElementsChanged"), (F.col("removed") + F.col("lost")).alias("payloadEntriesRemoved"))
 
 
-def apply_delta(state: DataFrame, additions: DataFrame, removals: DataFrame) -> DataFrame:
-    """The quads after a delta: (state and additions) without removals, each quad once."""
-    cols = ["s", "p", "o", "g"]
-    return state.select(*cols).unionByName(additions.select(*cols)).distinct().join(removals.select(*cols).distinct(), cols, "left_anti")
+def delta(prev: DataFrame, curr: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """s, p, o, g, op: the quads that only one of two graphs has, each once; op is add or remove. One aggregation tells both."""
+    cols = [*by, "s", "p", "o", "g"]
+    both = prev.select(*cols, F.lit(1).alias("side")).unionByName(curr.select(*cols, F.lit(2).alias("side")))
+    sides = both.groupBy(*cols).agg(F.min("side").alias("first"), F.max("side").alias("last")).filter("first = last")
+    return sides.select(*cols, F.when(F.col("last") == 2, "add").otherwise("remove").alias("op"))
+
 
+def apply_delta(state: DataFrame, additions: DataFrame, removals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The quads after a delta: (state and additions) without removals, each quad once. One aggregation does both."""
+    cols = [*by, "s", "p", "o", "g"]
+    held = state.select(*cols).unionByName(additions.select(*cols)).withColumn("gone", F.lit(0))
+    every = held.unionByName(removals.select(*cols).withColumn("gone", F.lit(1)))
+    return every.groupBy(*cols).agg(F.max("gone").alias("gone")).filter("gone = 0").select(*cols)
 
-def touched(additions: DataFrame, removals: DataFrame, state: DataFrame, signal: str | None) -> DataFrame:
+
+def touched(additions: DataFrame, removals: DataFrame, state: DataFrame, signal: str | None, by: tuple[str, ...] = ()) -> DataFrame:
     """v of the subjects a delta may change: its own subjects, and those that point at a vertex whose labels it changes."""
-    delta = additions.select("s", "p", "o").unionByName(removals.select("s", "p", "o"))
-    own = delta.select(F.col("s").alias("v"))
-    relabelled = delta.filter(class_edge(signal)).select(F.col("s").alias("o")).distinct()
-    pointing = state.join(relabelled, "o", "left_semi").select(F.col("s").alias("v"))
+    delta = additions.select(*by, "s", "p", "o").unionByName(removals.select(*by, "s", "p", "o"))
+    own = delta.select(*by, F.col("s").alias("v"))
+    relabelled = delta.filter(class_edge(signal)).select(*by, F.col("s").alias("o")).distinct()
+    pointing = state.join(relabelled, [*by, "o"], "left_semi").select(*by, F.col("s").alias("v"))
     return own.unionByName(pointing).distinct()
 
 
-def update(prev: DataFrame, state: DataFrame, additions: DataFrame, removals: DataFrame, config) -> tuple[DataFrame, DataFrame]:
+def update(prev: DataFrame, state: DataFrame, additions: DataFrame, removals: DataFrame, config, by: tuple[str, ...] = (), stored: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """(summaries, quads) after a delta: only touched subjects are summarised again; the rest is kept.
 
-    Equal to summarising the quads afresh. Both directions of edges count where undirected.
+    Equal to summarising the quads afresh. Both directions of edges count where undirected. ``stored`` may keep the
+    quads and the touched subjects, which are used several times; then neither state nor delta is read again.
     """
-    quads = apply_delta(state, additions, removals)
-    hit = touched(additions, removals, state.unionByName(additions.select(*state.columns)), config.class_signal)
+    quads = stored(apply_delta(state, additions, removals, by), "after")
+    hit = touched(additions, removals, state.filter(plain_edge(config.class_signal)), config.class_signal, by)
     if config.undirected:
-        ends = additions.select(F.col("o").alias("v")).unionByName(removals.select(F.col("o").alias("v")))
-        around = quads.join(hit.withColumnRenamed("v", "s"), "s", "left_semi").select(F.col("o").alias("v"))
-        hit = hit.unionByName(ends).unionByName(around).distinct()
-        part = quads.join(hit.withColumnRenamed("v", "s"), "s", "left_semi").unionByName(quads.join(hit.withColumnRenamed("v", "o"), "o", "left_semi"))
+        ends = additions.select(*by, F.col("o").alias("v")).unionByName(removals.select(*by, F.col("o").alias("v")))
+        around = quads.join(hit.withColumnRenamed("v", "s"), [*by, "s"], "left_semi").select(*by, F.col("o").alias("v"))
+        hit = stored(hit.unionByName(ends).unionByName(around).distinct(), "touched")
+        part = quads.join(hit.withColumnRenamed("v", "s"), [*by, "s"], "left_semi").unionByName(quads.join(hit.withColumnRenamed("v", "o"), [*by, "o"], "left_semi"))
     else:
-        part = quads.join(hit.withColumnRenamed("v", "s"), "s", "left_semi")
-    targets = part.select(F.explode(F.array("s", "o")).alias("s")).distinct()
-    label_edges = quads.filter(class_edge(config.class_signal)).join(targets, "s", "left_semi")
-    again = summarize(part.unionByName(label_edges).distinct(), config).join(hit, "v", "left_semi")
-    kept = prev.join(hit, "v", "left_anti")
+        hit = stored(hit, "touched")
+        part = quads.join(hit.withColumnRenamed("v", "s"), [*by, "s"], "left_semi")
+    targets = part.select(*by, F.explode(F.array("s", "o")).alias("s")).distinct()
+    label_edges = quads.filter(class_edge(config.class_signal)).join(targets, [*by, "s"], "left_semi")
+    again = summarize(part, config, by, label_edges)
+    if config.undirected:  # else the part has no other subjects
+        again = again.join(hit, [*by, "v"], "left_semi")
+    kept = prev.join(hit, [*by, "v"], "left_anti")
     return kept.unionByName(again), quads
-

@@ -2,6 +2,7 @@
 
 Every model gives v, labels, neighbors (property -> its target's labels, sorted), payload and
 sig. sig is a canonical JSON text of labels and neighbors; equal summaries have equal sig.
+``by``: columns that tell several graphs of one frame apart; they stay and come first.
 """
 
 from __future__ import annotations
@@ -27,51 +28,51 @@ def signature(label: Column, neighbor: Column) -> Column:
     return F.to_json(F.struct(label.alias("l"), neighbor.alias("n")))
 
 
-def _payloads(edge: DataFrame) -> DataFrame:
-    return edge.groupBy("s").agg(F.array_sort(F.collect_set("g")).alias("payload"))
+def _payloads(edge: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return edge.groupBy(*by, "s").agg(F.array_sort(F.collect_set("g")).alias("payload"))
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    return df.select(F.col("s").alias("v"), "labels", "neighbors", "payload").withColumn("sig", signature(F.col("labels"), F.col("neighbors")))
+def _finish(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return df.select(*by, F.col("s").alias("v"), "labels", "neighbors", "payload").withColumn("sig", signature(F.col("labels"), F.col("neighbors")))
 
 
-def _with_labels(subjects: DataFrame, label: DataFrame) -> DataFrame:
-    return subjects.join(label.withColumnRenamed("v", "s"), "s", "left").withColumn("labels", F.coalesce("labels", empty_labels()))
+def _with_labels(subjects: DataFrame, label: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return subjects.join(label.withColumnRenamed("v", "s"), [*by, "s"], "left").withColumn("labels", F.coalesce("labels", empty_labels()))
 
 
-def class_collection(edge: DataFrame, label: DataFrame, neighbor_mode: str = "min") -> DataFrame:
+def class_collection(edge: DataFrame, label: DataFrame, neighbor_mode: str = "min", by: tuple[str, ...] = ()) -> DataFrame:
     """Subjects of equal label sets. No edge is joined to its target."""
-    return _finish(_with_labels(_payloads(edge), label).withColumn("neighbors", F.array().cast(NEIGHBOR)))
+    return _finish(_with_labels(_payloads(edge, by), label, by).withColumn("neighbors", F.array().cast(NEIGHBOR)), by)
 
 
-def attribute_collection(edge: DataFrame, label: DataFrame, neighbor_mode: str = "min") -> DataFrame:
+def attribute_collection(edge: DataFrame, label: DataFrame, neighbor_mode: str = "min", by: tuple[str, ...] = ()) -> DataFrame:
     """Subjects of equal property sets. One aggregation, no join."""
-    both = edge.groupBy("s").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set("g")).alias("payload"))
+    both = edge.groupBy(*by, "s").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set("g")).alias("payload"))
     neighbors = F.transform("ps", lambda p: F.struct(p.alias("p"), empty_labels().alias("t")))
-    return _finish(both.select("s", "payload", empty_labels().alias("labels"), neighbors.alias("neighbors")))
+    return _finish(both.select(*by, "s", "payload", empty_labels().alias("labels"), neighbors.alias("neighbors")), by)
 
 
-def complex_collection(edge: DataFrame, label: DataFrame, neighbor_mode: str = "min") -> DataFrame:
+def complex_collection(edge: DataFrame, label: DataFrame, neighbor_mode: str = "min", by: tuple[str, ...] = ()) -> DataFrame:
     """Subjects of equal labels and, for each property, equal labels of the target.
 
     ``min``: of several targets of one property the least label set stands (one edge per
     property, whatever the order of rows). ``all``: each distinct target counts. Distinct
     (s, p, target labels) are formed before anything is collected per subject.
     """
-    dst = label.select(F.col("v").alias("o"), F.col("labels").alias("t"))
-    known = hot_join(edge, dst, ["o"], "left").withColumn("t", F.coalesce("t", empty_labels()))
+    dst = label.select(*by, F.col("v").alias("o"), F.col("labels").alias("t"))
+    known = hot_join(edge, dst, [*by, "o"], "left").withColumn("t", F.coalesce("t", empty_labels()))
     if neighbor_mode == "min":
-        per = known.groupBy("s", "p").agg(F.min("t").alias("t"), F.collect_set("g").alias("gs"))
+        per = known.groupBy(*by, "s", "p").agg(F.min("t").alias("t"), F.collect_set("g").alias("gs"))
     elif neighbor_mode == "all":
-        per = known.groupBy("s", "p", "t").agg(F.collect_set("g").alias("gs"))
+        per = known.groupBy(*by, "s", "p", "t").agg(F.collect_set("g").alias("gs"))
     else:
         raise ValueError(neighbor_mode)
-    subjects = per.groupBy("s").agg(
+    subjects = per.groupBy(*by, "s").agg(
         F.array_sort(F.collect_list(F.struct("p", "t"))).alias("neighbors"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("gs")))).alias("payload"))
-    return _finish(_with_labels(subjects, label))
+    return _finish(_with_labels(subjects, label, by), by)
 
 
-Model = Callable[[DataFrame, DataFrame, str], DataFrame]
+Model = Callable[[DataFrame, DataFrame, str, tuple[str, ...]], DataFrame]
 MODELS: dict[str, Model] = {
     "class-collection": class_collection,
     "attribute-collection": attribute_collection,
@@ -79,9 +80,12 @@ MODELS: dict[str, Model] = {
 }
 
 
-def summarize(quads: DataFrame, config: SummaryConfig) -> DataFrame:
-    """One summary per subject with at least one property edge; others have none. Empty quads give no rows."""
-    out = MODELS[config.model](edges(quads, config.class_signal, config.undirected, config.literal_subjects), labels(quads, config.class_signal), config.neighbor_mode)
+def summarize(quads: DataFrame, config: SummaryConfig, by: tuple[str, ...] = (), label_quads: DataFrame | None = None) -> DataFrame:
+    """One summary per subject with at least one property edge; others have none. Empty quads give no rows.
+
+    ``label_quads``: where the labels come from, if not from ``quads``."""
+    label = labels(quads if label_quads is None else label_quads, config.class_signal, by)
+    out = MODELS[config.model](edges(quads, config.class_signal, config.undirected, config.literal_subjects, by), label, config.neighbor_mode, by)
     return out if config.payload else out.withColumn("payload", empty_labels())
 
 

@@ -1,4 +1,4 @@
-"""The summary graph: its vertices, edges and payload, and the index from vertices to it."""
+"""The summary graph: its vertices, edges and payload, and the index from vertices to it. ``by``: columns that tell several graphs of one frame apart."""
 
 from __future__ import annotations
 
@@ -43,9 +43,9 @@ def payload_of(summaries: DataFrame) -> DataFrame:
     return summaries.select("sig", F.explode("payload").alias("g")).distinct()
 
 
-def imprints(summaries: DataFrame) -> DataFrame:
+def imprints(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """v, sig, labels, props, payload: the index from vertices to their summary."""
-    return summaries.select("v", "sig", "labels", F.transform("neighbors", lambda n: n["p"]).alias("props"), "payload")
+    return summaries.select(*by, "v", "sig", "labels", F.transform("neighbors", lambda n: n["p"]).alias("props"), "payload")
 
 
 def index_information(summaries: DataFrame) -> DataFrame:
@@ -82,11 +82,11 @@ def ntriples(summaries: DataFrame, namespace: str, class_signal: str) -> DataFra
     return types.unionByName(links)
 
 
-def same_summaries(a: DataFrame, b: DataFrame) -> DataFrame:
-    """only_a, only_b, different: vertices of two results that lack a partner or differ in sig or payload; one row."""
-    x = a.select("v", F.col("sig").alias("sa"), F.col("payload").alias("pa"))
-    y = b.select("v", F.col("sig").alias("sb"), F.col("payload").alias("pb"))
-    j = x.join(y, "v", "full_outer")
+def same_summaries(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """only_a, only_b, different: vertices of two results that lack a partner or differ in sig or payload; one row, with ``by`` one for each graph that has a vertex."""
+    x = a.select(*by, "v", F.col("sig").alias("sa"), F.col("payload").alias("pa"))
+    y = b.select(*by, "v", F.col("sig").alias("sb"), F.col("payload").alias("pb"))
+    j = x.join(y, [*by, "v"], "full_outer")
     both = F.col("sa").isNotNull() & F.col("sb").isNotNull()
-    return j.agg(F.count_if(F.col("sb").isNull()).alias("only_a"), F.count_if(F.col("sa").isNull()).alias("only_b"), F.count_if(both & ((F.col("sa") != F.col("sb")) | (F.col("pa") != F.col("pb")))).alias("different"))
+    return j.groupBy(*by).agg(F.count_if(F.col("sb").isNull()).alias("only_a"), F.count_if(F.col("sa").isNull()).alias("only_b"), F.count_if(both & ((F.col("sa") != F.col("sb")) | (F.col("pa") != F.col("pb")))).alias("different"))
 

@@ -22,14 +22,14 @@ def _text(c: Column | str) -> Column:
     return F.concat(F.lit('"'), F.col(c) if isinstance(c, str) else c, F.lit('"'))
 
 
-def _quads(df: DataFrame, s: Column, g: Column, pairs: dict[str, Column]) -> DataFrame:
-    """One row per pair with a value; the table is scanned once, its columns pruned."""
+def _quads(df: DataFrame, s: Column, g: Column, pairs: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pair with a value; the table is scanned once, its columns pruned. ``by``: further columns that are kept."""
     po = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs.items()])
-    return df.select(s.alias("s"), g.alias("g"), F.explode(po).alias("e")).filter("e.o is not null and s is not null").select("s", "e.p", "e.o", "g")
+    return df.select(*by, s.alias("s"), g.alias("g"), F.explode(po).alias("e")).filter("e.o is not null and s is not null").select(*by, "s", "e.p", "e.o", "g")
 
 
-def table_quads(df: DataFrame, name: str) -> DataFrame:
-    """The quads of one table: subject is table and key, the source the table, or its year or month."""
+def table_quads(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The quads of one table: subject is table and key, the source the table, or its year or month. ``by``: further columns that are kept."""
     year = lambda c: F.concat(F.lit(name + "/"), F.year(c).cast("string"))
     lit = F.lit(name)
     if name == "region":
@@ -37,13 +37,13 @@ def table_quads(df: DataFrame, name: str) -> DataFrame:
     if name == "nation":
         return _quads(df, _key("nation", "n_nationkey"), lit, {SIGNAL: lit, "inregion": _key("region", "n_regionkey")})
     if name == "customer":
-        return _quads(df, _key("customer", "c_custkey"), lit, {SIGNAL: F.col("c_mktsegment"), "innation": _key("nation", "c_nationkey")})
+        return _quads(df, _key("customer", "c_custkey"), lit, {SIGNAL: F.col("c_mktsegment"), "innation": _key("nation", "c_nationkey")}, by)
     if name == "supplier":
         return _quads(df, _key("supplier", "s_suppkey"), lit, {SIGNAL: lit, "innation": _key("nation", "s_nationkey")})
     if name == "part":
         return _quads(df, _key("part", "p_partkey"), lit, {SIGNAL: F.col("p_brand"), "name": _text("p_name")})
     if name == "orders":
-        return _quads(df, _key("orders", "o_orderkey"), year("o_orderdate"), {SIGNAL: F.col("o_orderstatus"), "placedby": _key("customer", "o_custkey"), "priority": _text("o_orderpriority")})
+        return _quads(df, _key("orders", "o_orderkey"), year("o_orderdate"), {SIGNAL: F.col("o_orderstatus"), "placedby": _key("customer", "o_custkey"), "priority": _text("o_orderpriority")}, by)
     if name == "lineitem":
         return _quads(df, _key("lineitem", "l_orderkey", "l_linenumber"), year("l_shipdate"), {SIGNAL: F.col("l_returnflag"), "oforder": _key("orders", "l_orderkey"), "ofpart": _key("part", "l_partkey"), "suppliedby": _key("supplier", "l_suppkey")})
     if name == "events":
@@ -74,3 +74,16 @@ def window_quads(orders: DataFrame, customers: DataFrame, year: int) -> DataFram
     active = kept.filter(at >= day(year)).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("active", F.lit(True))
     labelled = customers.join(active, "c_custkey", "left").withColumn("c_mktsegment", F.when(F.col("active"), F.concat("c_mktsegment", F.when(F.col("c_mktsegment") == "MACHINERY", f"/{year}").otherwise(""))).otherwise(F.lit("dormant")))
     return base.filter(F.col("p") != "priority").unionByName(feed).unionByName(table_quads(labelled, "customer"))
+
+
+def yearly_quads(orders: DataFrame, customers: DataFrame, years: range) -> DataFrame:
+    """The snapshots that ``window_quads`` makes of each of the years as one frame with a column year: one plan, however many years."""
+    every = F.explode(F.array(*[F.lit(y) for y in years]).cast("array<int>"))
+    of = F.year("o_orderdate")
+    kept = orders.withColumn("year", F.explode(F.array(of, of + 1))).filter(F.col("year").between(years.start, years.stop - 1))
+    placed = table_quads(kept, "orders", ("year",))
+    placed = placed.withColumn("g", F.when(F.col("p") == "priority", F.concat(F.lit("feed/"), F.col("year").cast("string"))).otherwise(F.col("g")))
+    active = orders.select(of.alias("year"), F.col("o_custkey").alias("c_custkey")).distinct().withColumn("active", F.lit(True))
+    renamed = F.concat("c_mktsegment", F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("/"), F.col("year").cast("string"))).otherwise(""))
+    labelled = customers.withColumn("year", every).join(active, ["year", "c_custkey"], "left").withColumn("c_mktsegment", F.when(F.col("active"), renamed).otherwise(F.lit("dormant")))
+    return placed.unionByName(table_quads(labelled, "customer", ("year",)))
