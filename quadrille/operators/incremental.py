@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
 from .graph import class_edge, plain_edge
 from .models import summarize
-from .summary import imprints, vertices_of
+from .summary import kinds, payload_of, vertices_of
 
 EMPTY = "array<string>"
 
@@ -50,9 +51,9 @@ def payload_update(state: DataFrame, change: DataFrame, mode: str) -> DataFrame:
     return both.withColumn("after", F.array_sort(after)).select("v", F.col("after").alias("payload"), changed.cast("bigint").alias("entries"))
 
 
-def stale(prev: DataFrame, curr: DataFrame) -> DataFrame:
+def stale(prev: DataFrame, curr: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Imprints whose vertex is gone."""
-    return prev.join(curr, "v", "left_anti")
+    return prev.join(curr, [*by, "v"], "left_anti")
 
 
 def deleted_summaries(prev: DataFrame, curr: DataFrame) -> DataFrame:
@@ -65,51 +66,63 @@ def orphaned_targets(prev: DataFrame, curr: DataFrame) -> DataFrame:
     return vertices_of(prev).filter("not is_primary").join(vertices_of(curr), "sig", "left_anti").select("sig", "labels")
 
 
-def _summary_loss(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """sig, lost: sources a summary loses where an instance was deleted, not moved."""
-    hit = stale(prev, curr).select("sig").distinct()
-    before = prev.join(hit, "sig", "left_semi").select("sig", F.explode("payload").alias("g")).distinct()
-    after = curr.join(hit, "sig", "left_semi").select("sig", F.explode("payload").alias("g")).distinct()
-    return before.join(after, ["sig", "g"], "left_anti").groupBy("sig").agg(F.count("*").alias("lost"))
+def _summary_loss(prev: DataFrame, curr: DataFrame, hit: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """sig, lost: sources that a summary of ``hit`` (of which an instance was deleted, not moved) loses. prev, curr: sig, g."""
+    before = prev.join(hit, [*by, "sig"], "left_semi")
+    return before.join(curr, [*by, "sig", "g"], "left_anti").groupBy(*by, "sig").agg(F.count("*").alias("lost"))
 
 
-def change_counters(prev: DataFrame, curr: DataFrame) -> DataFrame:
-    """One row of counters between two results of a model (v, labels, neighbors, payload, sig).
+def change_counters(prev: DataFrame, curr: DataFrame, by: tuple[str, ...] = (), kinds_of: tuple[DataFrame, DataFrame] | None = None, vertices: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row of counters between two results of a model (v, labels, neighbors, payload, sig); with ``by`` one for each
+    graph that has a vertex. Vertices are joined once and summed up by the pair of their summaries; the rest is told from
+    pairs and from ``kinds_of`` and ``vertices``, the kinds of both results and their summary vertices, where they are stored already.
 
     instancesNewWithKnownSchema is the real number; the compatible counter, always 0, has the
     suffix _compat. Payload losses of a summary are counted once per snapshot.
     """
-    p, c = imprints(prev), imprints(curr)
-    d = diff(p, c)
-    known = p.select(F.col("sig").alias("sig_c")).distinct().withColumn("known", F.lit(True))
-    per_vertex = d.join(known, "sig_c", "left").agg(
-        F.count_if(F.col("status") == "changed").alias("instancesWithChangedSchema"),
-        F.count_if("neighbor_only").alias("instancesChangedBecauseOfNeighbors"),
-        F.count_if(F.col("status") == "same").alias("instancesNotChanged"),
-        F.count_if(F.col("status") == "new").alias("instancesNew"),
-        F.count_if(F.col("status") == "deleted").alias("instancesDeleted"),
-        F.count_if((F.col("status") == "new") & F.col("known")).alias("instancesNewWithKnownSchema"),
+    k, m = kinds_of or (kinds(prev, by), kinds(curr, by))
+    none = F.array().cast(EMPTY)
+    p = prev.select(*by, "v", F.col("sig").alias("sig_p"), F.col("payload").alias("a"))
+    c = curr.select(*by, "v", F.col("sig").alias("sig_c"), F.col("payload").alias("b"))
+    both = p.join(c, [*by, "v"], "full_outer").withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
+    gone = F.col("sig_c").isNull()
+    both = both.select(*by, "sig_p", "sig_c", F.size(F.array_except("b", "a")).cast("bigint").alias("added"), F.when(gone, 0).otherwise(F.size(F.array_except("a", "b"))).cast("bigint").alias("removed"))
+    pairs = both.groupBy(*by, "sig_p", "sig_c").agg(F.count("*").alias("n"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count_if(~gone & (F.col("added") + F.col("removed") > 0)).alias("elements"))
+    pairs = materialise(pairs, "pairs")
+    of = lambda kind, side: kind.select(*by, F.col("sig").alias(f"sig_{side}"), F.struct("labels", F.transform("neighbors", lambda x: x["p"]).alias("props")).alias(f"of_{side}")).distinct()
+    a, b = vertices or (vertices_of(k, by), vertices_of(m, by))
+    known = a.filter("is_primary").select(*by, F.col("sig").alias("sig_c"), F.lit(True).alias("known"))
+    d = pairs.join(of(k, "p"), [*by, "sig_p"], "left").join(of(m, "c"), [*by, "sig_c"], "left").join(known, [*by, "sig_c"], "left")
+    new, deleted, changed = F.col("sig_p").isNull(), F.col("sig_c").isNull(), F.col("sig_p").isNotNull() & F.col("sig_c").isNotNull() & (F.col("sig_p") != F.col("sig_c"))
+    total = lambda which, x="n": F.coalesce(F.sum(F.when(which, F.col(x))), F.lit(0))
+    every = F.lit(True)
+    per_vertex = d.groupBy(*by).agg(
+        total(changed).alias("instancesWithChangedSchema"),
+        total(changed & (F.col("of_p") == F.col("of_c"))).alias("instancesChangedBecauseOfNeighbors"),
+        total(F.col("sig_p") == F.col("sig_c")).alias("instancesNotChanged"),
+        total(new).alias("instancesNew"),
+        total(deleted).alias("instancesDeleted"),
+        total(new & F.col("known")).alias("instancesNewWithKnownSchema"),
         F.lit(0).cast("bigint").alias("instancesNewWithKnownSchema_compat"),
-        F.count_if(F.col("status").isin("new", "changed")).alias("addedInstanceToSchemaLinks"),
-        F.count_if(F.col("status").isin("deleted", "changed")).alias("removedInstanceToSchemaLinks"),
-        F.count_if((F.col("status") != "deleted") & (F.col("payload_added") + F.col("payload_removed") > 0)).alias("elements"),
-        F.coalesce(F.sum("payload_added"), F.lit(0)).alias("payloadEntriesAdded"),
-        F.coalesce(F.sum("payload_removed"), F.lit(0)).alias("removed"),
+        total(new | changed).alias("addedInstanceToSchemaLinks"),
+        total(deleted | changed).alias("removedInstanceToSchemaLinks"),
+        total(every, "elements").alias("elements"),
+        total(every, "added").alias("payloadEntriesAdded"),
+        total(every, "removed").alias("removed"),
     )
-    loss = _summary_loss(p, c).agg(F.count("*").alias("shrunk"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))
-    a = vertices_of(prev).select("sig", F.col("is_primary").alias("pp"))
-    b = vertices_of(curr).select("sig", F.col("is_primary").alias("cp"))
-    j = a.join(b, "sig", "full_outer")
-    per_summary = j.agg(
+    hit = pairs.filter("sig_c is null").select(*by, F.col("sig_p").alias("sig")).distinct()
+    loss = _summary_loss(payload_of(k, by), payload_of(m, by), hit, by).groupBy(*by).agg(F.count("*").alias("shrunk"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"))
+    j = a.select(*by, "sig", F.col("is_primary").alias("pp")).join(b.select(*by, "sig", F.col("is_primary").alias("cp")), [*by, "sig"], "full_outer")
+    per_summary = j.groupBy(*by).agg(
         F.count_if(F.col("cp") & F.coalesce(~F.col("pp"), F.lit(True))).alias("newSchemaStructureObserved"),
         F.count_if(F.col("pp") & F.coalesce(~F.col("cp"), F.lit(True))).alias("schemaStructureDeleted"),
         F.count_if(F.col("pp").isNull()).alias("schemaElementsAdded"),
         F.count_if(F.col("cp").isNull()).alias("schemaElementsDeleted"),
     )
-    names = [*per_summary.columns, *[x for x in per_vertex.columns if x not in ("elements", "removed")]]
+    names = [*per_summary.columns[len(by):], *[x for x in per_vertex.columns[len(by):] if x not in ("elements", "removed")]]
     one = per_summary.unionByName(per_vertex, allowMissingColumns=True).unionByName(loss, allowMissingColumns=True)
-    one = one.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in one.columns])
-    return one.select(*names, (F.col("elements") + F.col("shrunk")).alias("payloadElementsChanged"), (F.col("removed") + F.col("lost")).alias("payloadEntriesRemoved"))
+    one = one.groupBy(*by).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in one.columns if x not in by])
+    return one.select(*by, *names, (F.col("elements") + F.col("shrunk")).alias("payloadElementsChanged"), (F.col("removed") + F.col("lost")).alias("payloadEntriesRemoved"))
 
 
 def delta(prev: DataFrame, curr: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -13,34 +13,40 @@ def secondary_signature(label: Column) -> Column:
     return signature(label, F.array().cast(NEIGHBOR))
 
 
-def primary(summaries: DataFrame) -> DataFrame:
+def primary(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """sig, labels, neighbors, instances: one row for each distinct summary of a vertex."""
-    return summaries.groupBy("sig").agg(F.first("labels").alias("labels"), F.first("neighbors").alias("neighbors"), F.count("*").alias("instances"))
+    return summaries.groupBy(*by, "sig").agg(F.first("labels").alias("labels"), F.first("neighbors").alias("neighbors"), F.count("*").alias("instances"))
 
 
-def edges_of(summaries: DataFrame) -> DataFrame:
+def edges_of(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """src_sig, property, dst_sig, dst_labels of the summary graph."""
     return (
-        primary(summaries).select("sig", F.explode("neighbors").alias("n"))
-        .select(F.col("sig").alias("src_sig"), F.col("n.p").alias("property"), secondary_signature(F.col("n.t")).alias("dst_sig"), F.col("n.t").alias("dst_labels"))
+        primary(summaries, by).select(*by, "sig", F.explode("neighbors").alias("n"))
+        .select(*by, F.col("sig").alias("src_sig"), F.col("n.p").alias("property"), secondary_signature(F.col("n.t")).alias("dst_sig"), F.col("n.t").alias("dst_labels"))
     )
 
 
-def secondary(summaries: DataFrame) -> DataFrame:
+def secondary(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """sig, labels of summaries that are targets; some may be primary too."""
-    return edges_of(summaries).select(F.col("dst_sig").alias("sig"), F.col("dst_labels").alias("labels")).dropDuplicates(["sig"])
+    return edges_of(summaries, by).select(*by, F.col("dst_sig").alias("sig"), F.col("dst_labels").alias("labels")).dropDuplicates([*by, "sig"])
 
 
-def vertices_of(summaries: DataFrame) -> DataFrame:
+def vertices_of(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """sig, labels, is_primary: primary summaries and the targets that are not."""
-    a = primary(summaries).select("sig", "labels", F.lit(True).alias("is_primary"))
-    b = secondary(summaries).select("sig", "labels", F.lit(False).alias("is_primary"))
-    return a.unionByName(b.join(a, "sig", "left_anti"))
+    a = primary(summaries, by).select(*by, "sig", "labels", F.lit(True).alias("is_primary"))
+    b = secondary(summaries, by).select(*by, "sig", "labels", F.lit(False).alias("is_primary"))
+    return a.unionByName(b.join(a, [*by, "sig"], "left_anti"))
 
 
-def payload_of(summaries: DataFrame) -> DataFrame:
+def kinds(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """sig, labels, neighbors, payload: the distinct summaries with each payload that instances have. Vertices, edges and
+    payload of the summary graph can be told from these rows as from the summaries, which are many more."""
+    return summaries.select(*by, "sig", "labels", "neighbors", "payload").distinct()
+
+
+def payload_of(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """sig, g: the distinct sources of each summary, as rows, so that no summary is a huge array."""
-    return summaries.select("sig", F.explode("payload").alias("g")).distinct()
+    return summaries.select(*by, "sig", F.explode("payload").alias("g")).distinct()
 
 
 def imprints(summaries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

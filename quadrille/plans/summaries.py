@@ -80,13 +80,10 @@ def year_quads(spark: SparkSession, d: str, year: int) -> DataFrame:
     return tables.window_quads(table(spark, d, "orders"), table(spark, d, "customer"), year)
 
 
-def each_step(spark: SparkSession, d: str, make: Callable[[SparkSession, str, int], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], first: bool = False) -> DataFrame:
-    """What ``compare`` tells of each year against the one before, with the year. ``make`` gives a year's frame; each is stored once.
-
-    ``first``: the first year is compared too, with nothing.
-    """
+def each_step(spark: SparkSession, d: str, make: Callable[[SparkSession, str, int], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What ``compare`` tells of each year against the one before, with the year. ``make`` gives a year's frame; each is stored once."""
     made = {y: materialise(make(spark, d, y), "year") for y in order_years(spark, d)}
-    parts = [compare(made.get(y - 1, made[y].limit(0)), made[y]).select(F.lit(y).alias("year"), "*") for y in made if first or y - 1 in made]
+    parts = [compare(made[y - 1], made[y]).select(F.lit(y).alias("year"), "*") for y in made if y - 1 in made]
     if not parts:
         none = make(spark, d, 0).limit(0)
         parts = [compare(none, none).select(F.lit(0).alias("year"), "*").limit(0)]
@@ -339,7 +336,12 @@ def orphans(spark: SparkSession, d: str) -> DataFrame:
 
 def change_counters(spark: SparkSession, d: str) -> DataFrame:
     """The counters of each year against the one before; the first against nothing."""
-    return each_step(spark, d, snapshot, incremental.change_counters, first=True)
+    years = order_years(spark, d)
+    made = materialise(models.summarize(yearly(spark, d, years), CONFIG, BY), "summaries")
+    kinds = materialise(summary.kinds(made, BY), "kinds")
+    vertices = materialise(summary.vertices_of(kinds, BY), "vertices")
+    result, kinds, vertices = (steps(x, years, first=True) for x in (made, kinds, vertices))
+    return incremental.change_counters(*result, BY, kinds, vertices)
 
 
 def delta_apply(spark: SparkSession, d: str) -> DataFrame:

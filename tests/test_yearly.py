@@ -4,7 +4,7 @@ import random
 import pytest
 from conftest import rows
 
-from quadrille.operators import incremental
+from quadrille.operators import incremental, models
 from quadrille.plans import summaries
 from quadrille.runtime import release
 from quadrille.sources import tables
@@ -43,7 +43,7 @@ def plan_size(spark, tmp_path, query, years):
     return query(spark, d)._jdf.queryExecution().analyzed().toString().count("\n")
 
 
-@pytest.mark.parametrize("name", ["incremental_equals_batch"])
+@pytest.mark.parametrize("name", ["incremental_equals_batch", "change_counters"])
 def test_plan_does_not_grow_with_the_years(spark, tmp_path, name):
     query = summaries.QUERIES[name]
     assert plan_size(spark, tmp_path, query, [1995, 1996]) == plan_size(spark, tmp_path, query, list(range(1995, 2003)))
@@ -63,3 +63,15 @@ def test_delta_and_its_application(spark):
     assert text(change) == sorted(map(str, [(1, "a", "p", "x", None, "remove"), (1, "c", "p", "x", None, "add"), (2, "a", "p", "x", "g", "remove"), (2, "a", "p", "x", "h", "add")]))
     after = incremental.apply_delta(a, change.filter("op = 'add'"), change.filter("op = 'remove'"), ("year",))
     assert text(after) == text(b)
+
+
+def each_year(spark, d):
+    return {y: models.summarize(summaries.year_quads(spark, d, y), summaries.CONFIG) for y in summaries.order_years(spark, d)}
+
+
+def test_counters_equal_those_of_each_pair(spark, tmp_path):
+    d = write(spark, tmp_path, [1995, 1996])
+    made = each_year(spark, d)
+    want = [(y, *incremental.change_counters(made.get(y - 1, made[y].limit(0)), made[y]).first()) for y in made]
+    assert rows(summaries.change_counters(spark, d)) == want
+    assert [r[:2] for r in want] == [(1995, want[0][1]), (1996, want[1][1])] and all(r[1] for r in want)
