@@ -43,7 +43,7 @@ def plan_size(spark, tmp_path, query, years):
     return query(spark, d)._jdf.queryExecution().analyzed().toString().count("\n")
 
 
-@pytest.mark.parametrize("name", ["incremental_equals_batch", "change_counters"])
+@pytest.mark.parametrize("name", ["incremental_equals_batch", "change_counters", "stale_imprints"])
 def test_plan_does_not_grow_with_the_years(spark, tmp_path, name):
     query = summaries.QUERIES[name]
     assert plan_size(spark, tmp_path, query, [1995, 1996]) == plan_size(spark, tmp_path, query, list(range(1995, 2003)))
@@ -75,3 +75,10 @@ def test_counters_equal_those_of_each_pair(spark, tmp_path):
     want = [(y, *incremental.change_counters(made.get(y - 1, made[y].limit(0)), made[y]).first()) for y in made]
     assert rows(summaries.change_counters(spark, d)) == want
     assert [r[:2] for r in want] == [(1995, want[0][1]), (1996, want[1][1])] and all(r[1] for r in want)
+
+
+def test_stale_imprints_of_each_pair(spark, tmp_path):
+    d = write(spark, tmp_path, [1995, 1996, 1999])
+    of = {y: {r.v for r in m.select("v").collect()} for y, m in each_year(spark, d).items()}
+    want = sorted((y, v) for y in of if y - 1 in of for v in of[y - 1] - of[y])
+    assert want and rows(summaries.stale_imprints(spark, d).select("year", "v")) == want
