@@ -54,3 +54,8 @@ def subject_bundles(edge: DataFrame) -> DataFrame:
     """s, p, o, g, n: the set of distinct edges of each subject as rows, so that no bundle is a huge array, and their number."""
     bundles = materialise(edge.select("s", "p", "o", "g").distinct(), "bundles")
     return hot_join(bundles, bundles.groupBy("s").agg(F.count("*").alias("n")), ["s"])
+
+
+def bundle_sizes(edge: DataFrame) -> DataFrame:
+    """s, n: the number of distinct edges of each subject, one row a subject; ``subject_bundles`` has the edges themselves."""
+    return edge.select("s", "p", "o", "g").distinct().groupBy("s").agg(F.count("*").alias("n"))

@@ -167,6 +167,11 @@ def graph_vertices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subject_bundles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.bundle_sizes(edges(spark, d))
+
+
+def subject_bundle_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the bundles themselves, each with its bundle's size."""
     return graph.subject_bundles(edges(spark, d))
 
 
@@ -428,7 +433,7 @@ def eventlog_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     quads_from_tables, nquad_format_parse, malformed_filter, term_normalize, file_lines, delta_scan, vertex_labels, vertex_labels_all_signal, edges_directed, edges_undirected, literal_filter, triplets, graph_vertices,
-    subject_bundles, class_collection, class_collection_undirected, attribute_collection, attribute_collection_undirected, complex_collection, complex_collection_undirected, complex_collection_all_neighbors, k_bisimulation,
+    subject_bundles, subject_bundle_edges, class_collection, class_collection_undirected, attribute_collection, attribute_collection_undirected, complex_collection, complex_collection_undirected, complex_collection_all_neighbors, k_bisimulation,
     summary_vertices, summary_edges, secondary_summaries, summary_payload, summary_instances, imprints, completeness_counts, index_information, summary_counts, ntriples_export, vertex_summary_mapping, summary_edge_hash, vertex_hash,
     degree_distribution, degree_statistics, unknown_subject_edges, known_subject_edges, snapshot_diff, neighbor_changes, payload_diff, stale_imprints, deleted_summaries, orphans, change_counters, delta_apply, delta_touched,
     incremental_equals_batch, index_by_element, citation_quads, citation_lines, entities_per_year, cumulative_snapshots, citation_summary, eventlog_phases, eventlog_intervals)}
